@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,23 +65,32 @@ def looked_up(c: Column | str, table: Mapping[str, float], missing: float) -> Co
     return F.coalesce(F.try_element_at(F.create_map(*pairs), col(c)), F.lit(missing))
 
 
-def interval(c: Column | str, edges: Sequence[float]) -> Column:
-    """Zero-based index of the right-closed interval a value falls in.
+def number_sql(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _slot(name: str, edges: Sequence[float], reaches: str) -> Column:
+    """Count of inner edges a value reaches, NULL outside the outer ones.
+
+    Written as one SQL text: assembling it call by call is slow with many edges.
+    """
+    value = f"CAST(`{name}` AS DOUBLE)"
+    low, *inner, high = (number_sql(e) for e in edges)
+    steps = " + ".join(f"CAST({value} {reaches} {e} AS INT)" for e in inner) or "0"
+    return F.expr(f"CASE WHEN {value} >= {low} AND {value} <= {high} THEN {steps} END")
+
+
+def interval(name: str, edges: Sequence[float]) -> Column:
+    """Zero-based index of the right-closed interval a column's value falls in.
 
     The lowest edge belongs to the first interval; values outside get NULL.
     """
-    value = col(c)
-    inside = (value >= F.lit(float(edges[0]))) & (value <= F.lit(float(edges[-1])))
-    inner = [F.when(value > F.lit(float(e)), 1).otherwise(0) for e in edges[1:-1]]
-    return F.when(inside, reduce(lambda a, b: a + b, inner, F.lit(0)))
+    return _slot(name, edges, ">")
 
 
-def histogram_slot(c: Column | str, edges: Sequence[float]) -> Column:
+def histogram_slot(name: str, edges: Sequence[float]) -> Column:
     """Like :func:`interval` with left-closed slots; the last slot is closed on both sides."""
-    value = col(c)
-    inside = (value >= F.lit(float(edges[0]))) & (value <= F.lit(float(edges[-1])))
-    inner = [F.when(value >= F.lit(float(e)), 1).otherwise(0) for e in edges[1:-1]]
-    return F.when(inside, reduce(lambda a, b: a + b, inner, F.lit(0)))
+    return _slot(name, edges, ">=")
 
 
 # --- cleaners --------------------------------------------------------------------

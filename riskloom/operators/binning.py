@@ -48,7 +48,7 @@ def woe_table(
     for f in features:
         if f in edges:
             e = edges[f]
-            index = interval(F.col(f).cast("double"), e)
+            index = interval(f, e)
             low = F.element_at(F.array(*(F.lit(x) for x in e[:-1])), index + 1)
             high = F.element_at(F.array(*(F.lit(x) for x in e[1:])), index + 1)
             parts.append(_part(f, index, low, high, F.lit(None).cast("string")))

@@ -82,14 +82,46 @@ def population_counts(loans: DataFrame, statuses: Sequence[str]) -> DataFrame:
 
 
 def correlation_matrix(loans: DataFrame, columns: Sequence[str] = K.CORRELATION_COLUMNS) -> DataFrame:
-    """Pearson correlation of every pair, both orders and the diagonal, from one aggregation."""
-    pairs = list(combinations(columns, 2))
+    """Pearson correlation of every pair, both orders and the diagonal.
+
+    One scan takes the means, a second sums the products of centred values. Pairs with
+    gaps are left to ``corr``, which uses the rows where both values are present.
+    """
     numbers = loans.select(*(_as_number(loans, c) for c in columns))
-    one_row = numbers.agg(*(F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)))
-    cells = [_cell(c, c, F.lit(1.0)) for c in columns]
+    first = numbers.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *(F.count(c).alias(f"n_{c}") for c in columns),
+        *(F.avg(c).alias(f"m_{c}") for c in columns),
+    ).first()
+    whole = [c for c in columns if first["rows"] > 0 and first[f"n_{c}"] == first["rows"]]
+    centred = numbers.select(
+        *(F.col(c) for c in columns if c not in whole),
+        *((F.col(c) - F.lit(first[f"m_{c}"])).alias(c) for c in whole),
+    )
+    pairs = list(combinations(columns, 2))
+    # SQL text keeps the many small expressions cheap to assemble
+    sums = ["count(1) AS rows"]
+    for c in whole:
+        sums += [f"avg({c}) AS m_{c}", f"avg({c} * {c}) AS s_{c}"]
+    results = [f"1D AS `{c}|{c}`" for c in columns]
     for i, (a, b) in enumerate(pairs):
-        cells += [_cell(a, b, F.col(f"r{i}")), _cell(b, a, F.col(f"r{i}"))]
-    return one_row.select(F.inline(F.array(*cells))).orderBy("feature_a", "feature_b")
+        if a in whole and b in whole:
+            sums.append(f"avg({a} * {b}) AS r{i}")
+            spread = f"sqrt((s_{a} - m_{a} * m_{a}) * (s_{b} - m_{b} * m_{b}))"
+            r = f"try_divide(r{i} - m_{a} * m_{b}, {spread})"
+        else:
+            sums.append(f"corr({a}, {b}) AS r{i}")
+            r = f"r{i}"
+        results.append(f"round({r}, 6) AS `{a}|{b}`")
+    long = centred.agg(*(F.expr(x) for x in sums)).selectExpr("rows", *results).unpivot("rows", None, "pair", "r")
+    names = F.split("pair", r"\|")
+    both_ways = F.array_distinct(
+        F.array(
+            F.struct(names[0].alias("feature_a"), names[1].alias("feature_b")),
+            F.struct(names[1].alias("feature_a"), names[0].alias("feature_b")),
+        )
+    )
+    return long.select(F.inline(both_ways), "r").orderBy("feature_a", "feature_b")
 
 
 def target_correlations(
@@ -114,10 +146,6 @@ def _as_number(df, name):
     return c.cast("double").alias(name)
 
 
-def _cell(a, b, r):
-    return F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.round(r, 6).alias("r"))
-
-
 # --- class histograms ------------------------------------------------------------
 def clipped_by_class(loans: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict]:
     """Long rows (feature, value, bad) with values limited to the good class's 2-98 % range."""

@@ -16,8 +16,8 @@ def attach_statistic(
     The statistic is evaluated once. If it has at most ``max_rows`` rows it becomes a
     local relation that is broadcast; above that it is joined by shuffle as usual.
     """
-    rows = statistic.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
+    rows = statistic.limit(max_rows + 1).toArrow()
+    if rows.num_rows > max_rows:
         return facts.join(statistic, key, "left")
-    local = facts.sparkSession.createDataFrame(rows, statistic.schema)
+    local = facts.sparkSession.createDataFrame(rows)
     return facts.join(F.broadcast(local), key, "left")

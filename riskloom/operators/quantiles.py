@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.columns import number_sql
+
 SKETCH_ACCURACY = 100_000
 # Half widths of the brackets, as shares of the rows; the smallest that is safe is used.
 BRACKETS = (4 / SKETCH_ACCURACY, 0.005, 0.05)
@@ -107,11 +108,11 @@ def _values_at(df, brackets, ranks) -> dict[str, dict[int, float]]:
     names = list(brackets)
     parts = []
     for i, c in enumerate(names):
-        value = _number(c)
-        steps = [F.when(value >= F.lit(lo), 1).otherwise(0) for lo, _ in brackets[c]]
-        steps += [F.when(value > F.lit(hi), 1).otherwise(0) for _, hi in brackets[c]]
-        segment = reduce(lambda a, b: a + b, steps)
-        parts.append(F.struct(F.lit(i).alias("c"), segment.alias("s"), value.alias("v")))
+        value = f"nullif(CAST(`{c}` AS DOUBLE), double('NaN'))"
+        reached = [f"CAST(v >= {number_sql(lo)} AS INT)" for lo, _ in brackets[c]]
+        reached += [f"CAST(v > {number_sql(hi)} AS INT)" for _, hi in brackets[c]]
+        segment = " + ".join(reached).replace("v ", value + " ")
+        parts.append(F.expr(f"named_struct('c', {i}, 's', {segment}, 'v', {value})"))
     long = df.select(F.explode(F.array(*parts)).alias("x")).filter(F.col("x.v").isNotNull())
     inside = F.col("x.s") % 2 == 1
     counts = long.groupBy(

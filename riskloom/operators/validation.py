@@ -245,7 +245,7 @@ def psi_by_group(
         F.struct(
             F.lit(c).alias("feature"),
             F.col(c).cast("double").alias("value"),
-            (histogram_slot(F.col(c).cast("double"), e) if len(e) > 1 else F.lit(None).cast("int")).alias("slot"),
+            (histogram_slot(c, e) if len(e) > 1 else F.lit(None).cast("int")).alias("slot"),
         )
         for c, e in edges.items()
     ]

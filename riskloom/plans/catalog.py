@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from riskloom.plans import portfolio_queries
+from riskloom.plans import load_queries, portfolio_queries
+from riskloom.session import tune
 
-_GROUPS = (portfolio_queries.QUERIES,)
+_GROUPS = (portfolio_queries.QUERIES, load_queries.QUERIES)
 
-QUERIES = {name: run for group in _GROUPS for name, (run, _) in group.items()}
+
+
+def _tuned(run):
+    return lambda spark, sf_dir: run(tune(spark), sf_dir)
+
+
+QUERIES = {name: _tuned(run) for group in _GROUPS for name, (run, _) in group.items()}
 ORACLE_SQL = {name: sql for group in _GROUPS for name, (_, sql) in group.items() if sql is not None}

@@ -18,6 +18,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .getOrCreate()
@@ -43,3 +45,15 @@ def use_checkpoints(spark: SparkSession) -> None:
     """Point iterative jobs at the shared folder unless a checkpoint folder is already set."""
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(work_folder(spark, "checkpoints"))
+
+
+# Methods above this many bytes of bytecode are never compiled by the JVM, so a wide
+# projection fused into one method runs interpreted. Below the limit Spark falls back to
+# one generated projection per operator, which is compiled.
+JIT_METHOD_BYTES = 8000
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Session settings for wide loan rows; results do not depend on them."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_METHOD_BYTES))
+    return spark

@@ -34,6 +34,11 @@ def rounded(c: Column | str, digits: int) -> Column:
     return F.round(col(c).cast("double"), digits)
 
 
+def money(c: Column | str) -> Column:
+    """Cents, half up. Six digits first, so binary noise around half a cent plays no part."""
+    return F.round(F.round(col(c).cast("double"), 6), 2)
+
+
 def mean(c: Column | str) -> Column:
     """Average as one exact sum over one count.
 

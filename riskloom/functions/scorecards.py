@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
-from riskloom.functions.columns import at_least_one, banded, clip, col, looked_up, rounded
+from riskloom.functions.columns import at_least_one, banded, clip, col, looked_up, money, rounded
 
 Columns = dict[str, Column]
 
@@ -80,7 +80,7 @@ def pd_outputs(pd: Column | str, loan_amnt: Column | str, policy: str = "service
         "risk_label": pd_risk(pd),
     }
     if policy == "service":
-        out["expected_loss"] = rounded(col(loan_amnt).cast("double") * col(pd) * K.DOWNTURN_LGD, 2)
+        out["expected_loss"] = money(col(loan_amnt).cast("double") * col(pd) * K.DOWNTURN_LGD)
     return out
 
 
@@ -120,7 +120,7 @@ def lgd_outputs(lgd: Column | str, loan_amnt: Column | str, variant: str = "serv
         "lgd": rounded(lgd, digits[0]),
         "lgd_pct": rounded(col(lgd) * 100, digits[1]),
         "recovery_rate": rounded(F.lit(1.0) - col(lgd), digits[0]),
-        "expected_loss": rounded(col(loan_amnt).cast("double") * col(lgd), 2),
+        "expected_loss": money(col(loan_amnt).cast("double") * col(lgd)),
         "risk_label": banded(lgd, K.LGD_RISK_BANDS, K.LGD_TOP_RISK),
     }
 
@@ -153,14 +153,14 @@ def ead_outputs(limit, committed, drawn, product=None) -> Columns:
     p = ead_parts(limit, committed, drawn, product)
     digits = (6, 4) if product is not None else (4, 2)
     out = {
-        "ead": rounded(p["ead"], 2),
+        "ead": money(p["ead"]),
         "ccf": rounded(p["ccf"], digits[0]),
         "ccf_pct": rounded(p["ccf"] * 100, digits[1]),
         "utilization": rounded(p["utilisation"] * 100, digits[1]),
     }
     if product is not None:
-        out["drawn"] = rounded(p["drawn"], 2)
-        out["undrawn_part"] = rounded(p["ccf"] * p["undrawn"], 2)
+        out["drawn"] = money(p["drawn"])
+        out["undrawn_part"] = money(p["ccf"] * p["undrawn"])
     return out
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -167,8 +168,11 @@ def thresholds(spark: SparkSession, policy: str) -> DataFrame:
     rows = [t for t in K.THRESHOLDS if t[0] == policy]
     if not rows:
         raise ValueError(f"unknown policy: {policy}")
+    fields = {"policy": "string", "model_type": "string", "metric_name": "string",
+              "ok": "double", "warn": "double", "lower_is_better": "bool"}
+    columns = zip(*rows)
     return spark.createDataFrame(
-        rows, "policy string, model_type string, metric_name string, ok double, warn double, lower_is_better boolean"
+        pa.table({name: pa.array(values, pa.type_for_alias(kind)) for (name, kind), values in zip(fields.items(), columns)})
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom import constants as K
 from riskloom.functions import scorecards as S
-from riskloom.functions.columns import banded, rounded
+from riskloom.functions.columns import banded, money, rounded
 
 
 def applications(loans: DataFrame) -> DataFrame:
@@ -104,8 +104,8 @@ def score_batch(
         F.round(F.col("_pd") * 100, 2).alias("pd_pct"),
         (S.rating("_pd", "basic") if "pd" in models else F.lit("—")).alias("grade"),
         (F.round(F.col("_lgd") * 100, 2) if "lgd" in models else zero).alias("lgd_pct"),
-        F.round("loan_amnt", 2).alias("ead"),
-        F.round(loss, 2).alias("expected_loss"),
+        money("loan_amnt").alias("ead"),
+        money(loss).alias("expected_loss"),
     )
 
 
@@ -127,7 +127,7 @@ def score_portfolio(requests: DataFrame, key: str = "loan_id") -> DataFrame:
         pd.alias("pd"),
         lgd.alias("lgd"),
         ead.alias("ead"),
-        F.round(pd * lgd * ead, 2).alias("expected_loss"),
+        money(pd * lgd * ead).alias("expected_loss"),
     )
 
 
@@ -220,10 +220,10 @@ def stress_grid(loans: DataFrame, group: str = "home_ownership") -> DataFrame:
         group,
         F.round(at, 1).alias("ratio"),
         F.round(lgd, 4).alias("lgd"),
-        F.round(F.coalesce(F.col("bad_amount"), F.lit(0.0)) * lgd, 2).alias("stressed_loss"),
+        money(F.coalesce(F.col("bad_amount"), F.lit(0.0)) * lgd).alias("stressed_loss"),
         F.round(F.lit(c0) + at * c1, 4).alias("ccf_revolving"),
         F.round(F.lit(t0) + at * t1, 4).alias("ccf_term"),
-        F.round(F.col("amount") * (at + (F.lit(1.0) - at) * (F.lit(c0) + at * c1)), 2).alias("ead_revolving"),
+        money(F.col("amount") * (at + (F.lit(1.0) - at) * (F.lit(c0) + at * c1))).alias("ead_revolving"),
     )
 
 

@@ -208,7 +208,7 @@ def temporal_cutoff(loans: DataFrame, share: float = 0.8) -> DataFrame:
         .groupBy(F.unix_date("issue_d").alias("day"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return days.agg(F.percentile("day", share, "n").alias("cutoff_day"), F.sum("n").alias("dated"))
+    return days.agg(F.percentile("day", share, F.col("n")).alias("cutoff_day"), F.sum("n").alias("dated"))
 
 
 def temporal_split(
@@ -307,7 +307,7 @@ def pd_by_grade(scored: DataFrame, score: str = "score") -> DataFrame:
             F.sum("n").alias("n_obs"),
             F.round(F.sum("bad") / F.sum("n") * 100, 6).alias("dr_obs"),
             F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n") * 100, 6).alias("pd_mean"),
-            F.round(F.percentile("score", 0.5, "n"), 6).alias("pd_median"),
+            F.round(F.percentile("score", 0.5, F.col("n")), 6).alias("pd_median"),
         )
         .orderBy("grade")
     )
@@ -316,7 +316,7 @@ def pd_by_grade(scored: DataFrame, score: str = "score") -> DataFrame:
 def score_boxplot(scored: DataFrame, key: str = "grade", score: str = "score") -> DataFrame:
     """Quartiles, whiskers at 1.5 interquartile ranges and the number of outliers."""
     counts = score_counts(scored.filter(F.col(key).isNotNull()), [key], score)
-    boxes = counts.groupBy(key).agg(F.percentile("score", [0.25, 0.5, 0.75], "n").alias("q"))
+    boxes = counts.groupBy(key).agg(F.percentile("score", [0.25, 0.5, 0.75], F.col("n")).alias("q"))
     joined = attach_statistic(counts, boxes, key)
     q1, q3 = F.col("q")[0], F.col("q")[2]
     reach = (q3 - q1) * 1.5

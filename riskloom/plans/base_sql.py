@@ -13,6 +13,10 @@ def avg(x: str) -> str:
     return f"(CAST(SUM({x}) AS DOUBLE) / NULLIF(COUNT({x}), 0))"
 
 
+def money(x: str) -> str:
+    return f"CAST(CAST(CAST({x} AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS DOUBLE)"
+
+
 def share(flag: str) -> str:
     return f"(CAST(SUM(CASE WHEN {flag} THEN 1 ELSE 0 END) AS DOUBLE) / NULLIF(COUNT(*), 0))"
 

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
-from riskloom.plans import load_queries, portfolio_queries
+from riskloom.plans import (
+    load_queries,
+    monitoring_queries,
+    portfolio_queries,
+    scoring_queries,
+    validation_queries,
+)
 from riskloom.session import tune
 
-_GROUPS = (portfolio_queries.QUERIES, load_queries.QUERIES)
+_GROUPS = (
+    portfolio_queries.QUERIES,
+    load_queries.QUERIES,
+    scoring_queries.QUERIES,
+    validation_queries.QUERIES,
+    monitoring_queries.QUERIES,
+)
 
 
 

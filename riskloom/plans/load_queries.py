@@ -34,7 +34,7 @@ def admissible(s, d):
 
 def arithmetic_hash():
     """A hash that any SQL engine can compute."""
-    return (F.col("loan_id") * 2654435761 + 42) % (1 << 32)
+    return (F.col("loan_id") % 4294967291 * 1103515245 + 42) % (1 << 32)
 
 
 def hash_sample(s, d):
@@ -134,7 +134,7 @@ QUERIES = {
     ),
     "hash_sample": (
         hash_sample,
-        on_raw(f"""sampled AS (SELECT * FROM raw_loans ORDER BY (loan_id * 2654435761 + 42) % 4294967296, loan_id LIMIT {SAMPLE})
+        on_raw(f"""sampled AS (SELECT * FROM raw_loans ORDER BY (loan_id % 4294967291 * 1103515245 + 42) % 4294967296, loan_id LIMIT {SAMPLE})
         SELECT loan_id, CAST(loan_amnt AS DOUBLE) AS loan_amnt, grade FROM sampled
         WHERE loan_status IS NOT NULL AND annual_inc > 0 AND loan_amnt > 0 AND grade IS NOT NULL"""),
     ),

@@ -307,7 +307,7 @@ def pd_by_grade(scored: DataFrame, score: str = "score") -> DataFrame:
             F.sum("n").alias("n_obs"),
             F.round(F.sum("bad") / F.sum("n") * 100, 6).alias("dr_obs"),
             F.round(F.sum(F.col("score") * F.col("n")) / F.sum("n") * 100, 6).alias("pd_mean"),
-            F.round(F.percentile("score", 0.5, F.col("n")), 6).alias("pd_median"),
+            F.round(F.percentile("score", 0.5, F.col("n")), 7).alias("pd_median"),
         )
         .orderBy("grade")
     )

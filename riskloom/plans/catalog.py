@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from riskloom.plans import (
     load_queries,
+    model_queries,
     monitoring_queries,
     portfolio_queries,
     scoring_queries,
@@ -17,6 +18,7 @@ _GROUPS = (
     scoring_queries.QUERIES,
     validation_queries.QUERIES,
     monitoring_queries.QUERIES,
+    model_queries.QUERIES,
 )
 
 

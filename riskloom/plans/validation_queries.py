@@ -118,7 +118,7 @@ QUERIES = {
     "pd_by_grade": (
         lambda s, d: V.pd_by_grade(final_scored(s, d)),
         on_loans(f"""{_FINAL} SELECT grade, COUNT(*) AS n_obs, ROUND(AVG(CASE WHEN is_default THEN 1e0 ELSE 0e0 END) * 100, 6) AS dr_obs,
-        ROUND(AVG(score) * 100, 6) AS pd_mean, ROUND(QUANTILE_CONT(score, 0.5), 6) AS pd_median FROM final_scored GROUP BY grade"""),
+        ROUND(AVG(score) * 100, 6) AS pd_mean, ROUND(QUANTILE_CONT(score, 0.5), 7) AS pd_median FROM final_scored GROUP BY grade"""),
     ),
     "score_boxplot": (
         lambda s, d: V.score_boxplot(final_scored(s, d)),

@@ -102,7 +102,7 @@ def histogram_slot(name: str, edges: Sequence[float]) -> Column:
 def clean_rate(c: Column | str) -> Column:
     """'13.99%' to 0.1399. Numbers up to 1 are taken as fractions already; junk is NULL."""
     number = F.replace(F.trim(col(c).cast("string")), F.lit("%"), F.lit("")).try_cast("double")
-    return F.when(number > 1, number / 100).otherwise(number)
+    return number / F.when(number > 1, F.lit(100.0)).otherwise(F.lit(1.0))
 
 
 def digits_of(c: Column | str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskloom import constants as K
-from riskloom.functions.columns import banded, interval, share_true
+from riskloom.functions.columns import banded, interval, number_sql, share_true
 from riskloom.functions.scorecards import scorecard_points
 from riskloom.operators.quantiles import exact_quantiles
 
@@ -42,26 +42,16 @@ def woe_table(
     """
     usable = df.filter(F.col(target).isNotNull())
     numeric = [f for f in features if not _is_categorical(df, f)]
+    text = [f for f in features if _is_categorical(df, f)]
     edges = quantile_edges(usable, numeric, bins) if numeric else {}
-    event = F.col(target).cast("int")
-    parts = []
-    for f in features:
-        if f in edges:
-            e = edges[f]
-            index = interval(f, e)
-            low = F.element_at(F.array(*(F.lit(x) for x in e[:-1])), index + 1)
-            high = F.element_at(F.array(*(F.lit(x) for x in e[1:])), index + 1)
-            parts.append(_part(f, index, low, high, F.lit(None).cast("string")))
-        elif _is_categorical(df, f):
-            none = F.lit(None).cast("double")
-            value = F.col(f)
-            parts.append(_part(f, F.when(value.isNotNull(), F.lit(0)), none, none, value))
-    long = usable.select(event.alias("y"), F.explode(F.array(*parts)).alias("x")).filter(
-        F.col("x.bin_no").isNotNull()
-    )
-    binned = long.groupBy("x.feature", "x.bin_no", "x.bin_min", "x.bin_max", "x.value").agg(
-        F.count(F.lit(1)).alias("count_total"), F.sum("y").alias("count_events")
-    )
+    counted = []
+    if edges:
+        counted.append(_count_numeric(usable, target, edges))
+    if text:
+        counted.append(_count_text(usable, target, text))
+    if not counted:
+        raise ValueError("no feature has values")
+    binned = counted[0] if len(counted) == 1 else counted[0].unionByName(counted[1])
     totals = binned.groupBy("feature").agg(
         F.sum("count_events").alias("events"),
         (F.sum("count_total") - F.sum("count_events")).alias("non_events"),
@@ -92,13 +82,46 @@ def woe_table(
     )
 
 
-def _part(feature: str, index: Column, low: Column, high: Column, value: Column) -> Column:
-    return F.struct(
-        F.lit(feature).alias("feature"),
-        index.cast("int").alias("bin_no"),
-        low.alias("bin_min"),
-        high.alias("bin_max"),
-        value.alias("value"),
+def _count_numeric(df: DataFrame, target: str, edges: dict[str, list[float]]) -> DataFrame:
+    """Counts per feature and bin. Rows carry small bin numbers only; names and limits are
+    attached to the counts."""
+    names = list(edges)
+    slots = df.select(
+        F.col(target).cast("int").alias("y"), *(interval(f, edges[f]).alias(f"b{i}") for i, f in enumerate(names))
+    )
+    counts = (
+        slots.select("y", F.posexplode(F.array(*(f"b{i}" for i in range(len(names))))).alias("at", "bin_no"))
+        .filter(F.col("bin_no").isNotNull())
+        .groupBy("at", "bin_no")
+        .agg(F.count(F.lit(1)).alias("count_total"), F.sum("y").alias("count_events"))
+    )
+    limits = "array(" + ", ".join(
+        f"array({', '.join(number_sql(e) for e in edges[f])})" for f in names
+    ) + ")"
+    label = "array(" + ", ".join(f"'{f}'" for f in names) + ")"
+    return counts.selectExpr(
+        f"element_at({label}, at + 1) AS feature",
+        "bin_no",
+        f"element_at(element_at({limits}, at + 1), bin_no + 1) AS bin_min",
+        f"element_at(element_at({limits}, at + 1), bin_no + 2) AS bin_max",
+        "CAST(NULL AS STRING) AS value",
+        "count_total",
+        "count_events",
+    )
+
+
+def _count_text(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
+    rows = F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features))
+    none = F.lit(None).cast("double")
+    return (
+        df.select(F.col(target).cast("int").alias("y"), F.inline(rows))
+        .filter(F.col("value").isNotNull())
+        .groupBy("feature", "value")
+        .agg(F.count(F.lit(1)).alias("count_total"), F.sum("y").alias("count_events"))
+        .select(
+            "feature", F.lit(0).alias("bin_no"), none.alias("bin_min"), none.alias("bin_max"),
+            "value", "count_total", "count_events",
+        )
     )
 
 

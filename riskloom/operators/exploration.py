@@ -102,11 +102,11 @@ def correlation_matrix(loans: DataFrame, columns: Sequence[str] = K.CORRELATION_
     # SQL text keeps the many small expressions cheap to assemble
     sums = ["count(1) AS rows"]
     for c in whole:
-        sums += [f"avg({c}) AS m_{c}", f"avg({c} * {c}) AS s_{c}"]
+        sums += [f"sum({c}) / count(1) AS m_{c}", f"sum({c} * {c}) / count(1) AS s_{c}"]
     results = [f"1D AS `{c}|{c}`" for c in columns]
     for i, (a, b) in enumerate(pairs):
         if a in whole and b in whole:
-            sums.append(f"avg({a} * {b}) AS r{i}")
+            sums.append(f"sum({a} * {b}) / count(1) AS r{i}")
             spread = f"sqrt((s_{a} - m_{a} * m_{a}) * (s_{b} - m_{b} * m_{b}))"
             r = f"try_divide(r{i} - m_{a} * m_{b}, {spread})"
         else:

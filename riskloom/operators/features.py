@@ -86,7 +86,8 @@ def conform(loans: DataFrame) -> DataFrame:
         changes["issue_d"] = parse_issue_month("issue_d")
     for name in K.ZERO_FILLED_INTEGERS:
         if name in loans.columns:
-            changes[name] = F.coalesce(F.col(name).cast("string").try_cast("double"), F.lit(0.0)).cast("int")
+            number = F.col(name).try_cast("double") if _is_text(loans, name) else F.col(name)
+            changes[name] = F.coalesce(number, F.lit(0)).cast("int")
     for name, (low, high) in K.VALUE_RANGES.items():
         if name in loans.columns:
             changes[name] = clip(F.col(name).try_cast("double"), low, high)

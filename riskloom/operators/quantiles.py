@@ -101,30 +101,32 @@ def _brackets(row, i: int, n: int, probabilities) -> list[tuple[float, float]]:
 
 
 def _values_at(df, brackets, ranks) -> dict[str, dict[int, float]]:
-    """Values at zero-based ranks, read from the bracketed values and the counts around them."""
+    """Values at zero-based ranks.
+
+    A value outside the brackets is replaced by one stand-in for its gap, which sorts where
+    the gap lies. What is left is a short ordered list of values with their counts.
+    """
     found: dict[str, dict[int, float]] = {c: {} for c in brackets}
     if not brackets:
         return found
     names = list(brackets)
-    parts = []
-    for i, c in enumerate(names):
-        value = f"nullif(CAST(`{c}` AS DOUBLE), double('NaN'))"
-        reached = [f"CAST(v >= {number_sql(lo)} AS INT)" for lo, _ in brackets[c]]
-        reached += [f"CAST(v > {number_sql(hi)} AS INT)" for _, hi in brackets[c]]
-        segment = " + ".join(reached).replace("v ", value + " ")
-        parts.append(F.expr(f"named_struct('c', {i}, 's', {segment}, 'v', {value})"))
-    long = df.select(F.explode(F.array(*parts)).alias("x")).filter(F.col("x.v").isNotNull())
-    inside = F.col("x.s") % 2 == 1
-    counts = long.groupBy(
-        F.col("x.c").alias("c"), F.col("x.s").alias("s"), F.when(inside, F.col("x.v")).alias("v")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    up_to = Window.partitionBy("c").orderBy("s", "v").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.create_map(
-        *(x for i, c in enumerate(names) for x in (F.lit(i), F.array(*(F.lit(r) for r in ranks[c]))))
+    stand_ins = [_stand_ins(brackets[c]) for c in names]
+    numbers = df.select(*(_number(c).alias(f"v{i}") for i, c in enumerate(names)))
+    coarse = numbers.select(
+        *(F.expr(_coarse_sql(f"v{i}", brackets[c], stand_ins[i])).alias(f"v{i}") for i, c in enumerate(names))
+    )
+    counts = (
+        coarse.select(F.posexplode(F.array(*(f"v{i}" for i in range(len(names))))).alias("c", "v"))
+        .filter(F.col("v").isNotNull())
+        .groupBy("c", "v")
+        .agg(F.count(F.lit(1)).alias("n"))
     )
+    up_to = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.expr("map(" + ", ".join(
+        f"{i}, array({', '.join(f'{r}L' for r in ranks[c])})" for i, c in enumerate(names)
+    ) + ")")
     hits = (
         counts.withColumn("upto", F.sum("n").over(up_to))
-        .filter(F.col("v").isNotNull())
         .select(
             "c",
             "v",
@@ -136,6 +138,21 @@ def _values_at(df, brackets, ranks) -> dict[str, dict[int, float]]:
         .filter(F.size("hit") > 0)
     )
     for row in hits.collect():  # at most two values per column and quantile
-        for r in row["hit"]:
-            found[names[row["c"]]][r] = row["v"]
+        if row["v"] not in stand_ins[row["c"]]:
+            for r in row["hit"]:
+                found[names[row["c"]]][r] = row["v"]
     return found
+
+
+def _stand_ins(spans: list[tuple[float, float]]) -> list[float]:
+    """One number below, between and above the brackets."""
+    between = [low / 2 + high / 2 for (_, low), (high, _) in zip(spans, spans[1:])]
+    return [float("-inf"), *between, float("inf")]
+
+
+def _coarse_sql(v: str, spans, stand_ins) -> str:
+    branches = []
+    for (low, high), outside in zip(spans, stand_ins):
+        sign = "double('-Infinity')" if outside == float("-inf") else number_sql(outside)
+        branches.append(f"WHEN {v} < {number_sql(low)} THEN {sign} WHEN {v} <= {number_sql(high)} THEN {v}")
+    return f"CASE {' '.join(branches)} WHEN {v} IS NOT NULL THEN double('Infinity') END"

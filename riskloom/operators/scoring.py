@@ -235,11 +235,8 @@ def with_violations(requests: DataFrame, ranges: dict | None = None) -> DataFram
     for name, (low, high) in ranges.items():
         if name not in requests.columns:
             continue
-        c = F.col(name).cast("double")
-        outside = c < low
-        if high is not None:
-            outside = outside | (c > high)
-        found.append(F.when(outside | F.isnan(c), F.lit(name)))
+        top = float("inf") if high is None else high  # not-a-number lies above every limit
+        found.append(F.when(~F.col(name).cast("double").between(low, top), F.lit(name)))
     return requests.withColumn("violations", F.array_compact(F.array(*found)))
 
 

@@ -121,26 +121,38 @@ def _values_at(df, brackets, ranks) -> dict[str, dict[int, float]]:
         .groupBy("c", "v")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    up_to = Window.partitionBy("c").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = F.expr("map(" + ", ".join(
-        f"{i}, array({', '.join(f'{r}L' for r in ranks[c])})" for i, c in enumerate(names)
-    ) + ")")
+    # Each bracket is ordered on its own; it starts from the rows of all segments before it.
+    def per_column(values) -> Column:
+        return F.expr("element_at(map(" + ", ".join(
+            f"{i}, array({', '.join(values(c))})" for i, c in enumerate(names)
+        ) + "), c)")
+
+    starts = per_column(lambda c: [number_sql(low) for low, _ in brackets[c]])
+    ends = per_column(lambda c: [number_sql(high) for _, high in brackets[c]])
+    wanted = per_column(lambda c: [f"{r}L" for r in ranks[c]])
+    segment = F.size(F.filter(starts, lambda x: x <= F.col("v"))) + F.size(F.filter(ends, lambda x: x < F.col("v")))
+    placed = counts.withColumn("s", segment)
+    before = Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("c", "s").agg(F.sum("n").alias("size"))
+        .select("c", "s", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    )
+    within = Window.partitionBy("c", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        counts.withColumn("upto", F.sum("n").over(up_to))
+        placed.filter(F.col("s") % 2 == 1)
+        .withColumn("upto", F.sum("n").over(within))
+        .join(offsets, ["c", "s"])
+        .withColumn("upto", F.col("upto") + F.col("offset"))
         .select(
             "c",
             "v",
-            F.filter(
-                F.element_at(wanted, F.col("c")),
-                lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")),
-            ).alias("hit"),
+            F.filter(wanted, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))).alias("hit"),
         )
         .filter(F.size("hit") > 0)
     )
     for row in hits.collect():  # at most two values per column and quantile
-        if row["v"] not in stand_ins[row["c"]]:
-            for r in row["hit"]:
-                found[names[row["c"]]][r] = row["v"]
+        for r in row["hit"]:
+            found[names[row["c"]]][r] = row["v"]
     return found
 
 

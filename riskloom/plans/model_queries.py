@@ -64,16 +64,34 @@ def _metric_rows(s, models) -> DataFrame:
 def model_scores(s, d) -> DataFrame:
     """Whole book scored by the saved models: PD, LGD and EAD per loan."""
     folder = model_folder(s, d)
-    x = requests(s, d).join(loans(s, d).select("loan_id", "term_months", "open_acc", "pub_rec"), "loan_id")
-    pd = T.score_pd_with(x, T.load_model(f"{folder}/pd")).select("loan_id", "pd", "score", "rating", "model")
-    lgd = T.score_lgd_with(x, T.load_model(f"{folder}/lgd")).select("loan_id", "lgd")
-    ead = T.score_ead_with(x, T.load_model(f"{folder}/ead")).select("loan_id", "ead", "ccf")
-    return pd.join(lgd, "loan_id").join(ead, "loan_id")
+    x = model_requests(s, d)
+    for add, name in ((T.with_pd, "pd"), (T.with_lgd, "lgd"), (T.with_ead, "ead")):
+        x = add(x, T.load_model(f"{folder}/{name}"))
+    return x.select("loan_id", "pd", "score", "rating", "model", "lgd", "ead", "ccf")
+
+
+def model_requests(s, d) -> DataFrame:
+    return requests(s, d, "term_months", "open_acc", "pub_rec").drop("ead")
+
+
+def refit_comparison(s, d) -> DataFrame:
+    """Boosted model and plain logistic regression, both on the older 80 % of the book,
+    measured on the newer 20 %."""
+    final = V.temporal_split(loans(s, d).filter(F.col("loan_status").isin(*K.FINAL_STATUSES)))
+    rows = T.training_rows(final, K.PD_FEATURES, "is_default", F.col("fold"))
+    older = rows.filter("fold = 'train'").withColumn("fold", T.fold_of(shares=(("train", 80), ("calibration", 20))))
+    boosted = T.train_boosted_pd(older, **QUICK_PD)
+    plain = T.train_scorecard(rows, c=1.0, max_iter=1000, balanced=False)
+    newer = rows.filter("fold = 'test'")
+    keep = ("loan_id", "label", *K.PD_FEATURES)
+    both = T.with_probability(boosted, newer, "boosted").select(*keep, "boosted")
+    both = T.with_probability(plain, both, "logistic").withColumn("is_default", F.col("label") == 1)
+    return V.compare_models(both, {"boosted": "boosted", "logistic": "logistic"})
 
 
 def importance(s, d) -> DataFrame:
     folder = work_folder(s, "booster")
-    rows = T._training_rows(loans(s, d).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES)), K.PD_FEATURES, "is_default")
+    rows = T.training_rows(loans(s, d).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES)), K.PD_FEATURES, "is_default")
     T.train_boosted_pd(rows, **QUICK_PD).save(folder)
     return T.feature_importance(folder, K.PD_FEATURES, s)
 
@@ -199,6 +217,7 @@ QUERIES = {
     "train_ead": (lambda s, d: _metric_rows(s, [trained(s, d)["ead"]]), None),
     "feature_importance": (importance, None),
     "model_scoring": (model_scores, None),
+    "refit_comparison": (refit_comparison, None),
     "csv_roundtrip": (applications_file, _BATCH_SQL),
     "loans_csv_load": (loans_file, PORTFOLIO["portfolio_by_grade"][1]),
     "metrics_json": (

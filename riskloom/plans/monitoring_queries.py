@@ -135,13 +135,13 @@ QUERIES = {
     ),
     "drift_means": (lambda s, d: M.drift_means(loans(s, d), DRIFT_CUTOFF), on_loans(_drift_rows())),
     "event_window_monitor": (
-        lambda s, d: M.window_monitor(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))),
+        lambda s, d: M.window_monitor(table(s, d, "events")),
         """SELECT DATE_TRUNC('day', ts) AS window_start, FLOOR(value / 50) * 50 AS band, COUNT(*) AS n,
         ROUND(CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / COUNT(*), 6) AS mean_value, MAX(value) AS highest FROM events GROUP BY 1, 2""",
     ),
     "event_sliding_monitor": (
         lambda s, d: M.window_monitor(
-            table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "2 days", "1 day"
+            table(s, d, "events"), "2 days", "1 day"
         ),
         """slid AS (SELECT DATE_TRUNC('day', ts) AS window_start, value FROM events
           UNION ALL SELECT DATE_TRUNC('day', ts) - INTERVAL 1 DAY, value FROM events)

@@ -47,7 +47,7 @@ _BASIC_LGD = (f"GREATEST(0.01e0, LEAST(0.99e0, 0.45e0 - {_COVER} + CASE WHEN hom
               f" - {_RECOVERED}))")
 
 
-def requests(s, d):
+def requests(s, d, *more):
     """Loans as requests of all three models, with collateral and limits derived from them."""
     book = loans(s, d)
     amount, income = F.col("loan_amnt").cast("double"), F.col("annual_inc").cast("double")
@@ -64,6 +64,7 @@ def requests(s, d):
         F.when(k4 == 0, "revolving").when(k4 == 1, "line").when(k4 == 2, "term").otherwise("card").alias("product_type"),
         income.alias("credit_limit"), amount.alias("committed_amount"),
         (amount * F.col("revol_util").cast("double") / 60).alias("drawn_amount"),
+        *more,
     )
 
 

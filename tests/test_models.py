@@ -32,7 +32,7 @@ def test_regressors_have_errors(models):
 
 
 def test_calibrated_mean_is_near_the_default_rate(spark, models):
-    rows = T._training_rows(loans(spark, MEDIUM).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES)), K.PD_FEATURES, "is_default")
+    rows = T.training_rows(loans(spark, MEDIUM).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES)), K.PD_FEATURES, "is_default")
     test = rows.filter("fold = 'test'")
     model = T.load_model(f"{Q.model_folder(spark, MEDIUM)}/pd")
     row = T.with_probability(model, test).agg(F.avg("score").alias("p"), F.avg("label").alias("y")).first()
@@ -49,9 +49,9 @@ def test_whole_book_is_scored(spark, models):
 
 def test_without_a_model_the_formula_scores(spark):
     assert T.load_model("/tmp/there-is-no-such-model") is None
-    x = Q.requests(spark, SMALL).join(loans(spark, SMALL).select("loan_id", "term_months", "open_acc", "pub_rec"), "loan_id")
-    assert T.score_pd_with(x, None).first()["model"] == "analytic"
-    assert T.score_lgd_with(x, None).count() == T.score_ead_with(x, None).count() == x.count()
+    x = T.with_ead(T.with_lgd(T.with_pd(Q.model_requests(spark, SMALL), None), None), None)
+    assert x.count() == loans(spark, SMALL).count()
+    assert x.first()["model"] == "analytic" and {"pd", "lgd", "ead", "ccf", "int_rate"} <= set(x.columns)
 
 
 def test_too_few_defaults_give_no_model(spark):
@@ -66,7 +66,7 @@ def test_importance_adds_up(spark):
 
 
 def test_same_seed_same_model(spark):
-    rows = T._training_rows(loans(spark, SMALL).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES)), K.PD_FEATURES, "is_default")
+    rows = T.training_rows(loans(spark, SMALL).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES)), K.PD_FEATURES, "is_default")
     a, b = (T.train_boosted_pd(rows, trees=3, depth=3) for _ in range(2))
     first = T.with_probability(a, rows, "a").select("loan_id", "a")
     second = T.with_probability(b, rows, "b").select("loan_id", "b")

@@ -276,3 +276,12 @@ def test_stream_drops_repeated_keys(spark):
     SS.start_append(predictions, out, work_folder(spark, "cp")).awaitTermination()
     assert sorted(r["loan_ref"] for r in spark.read.schema(predictions.schema).parquet(out).collect()) == ["1", "2"]
     assert rejected.isStreaming
+
+
+def test_views_answer_sql(spark, small_loans):
+    from riskloom.plans.views import register_views
+
+    register_views(small_loans)
+    n = spark.sql("SELECT sum(total_loans) AS n FROM v_portfolio_summary").first()["n"]
+    months = spark.sql("SELECT sum(total_loans) AS n FROM v_monthly_default_rates").first()["n"]
+    assert n == months == small_loans.count()

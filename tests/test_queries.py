@@ -10,7 +10,7 @@ from tests.oracle import compare, connect
 
 SQL = contract.oracle_sql()
 # fitted on the middle folder in test_models; the smallest has too few defaults
-MODELS = {"train_pd", "train_scorecard", "train_lgd", "train_ead", "feature_importance", "model_scoring", "run_log"}
+MODELS = {"train_pd", "train_scorecard", "train_lgd", "train_ead", "feature_importance", "model_scoring", "run_log", "refit_comparison"}
 
 
 @pytest.fixture(scope="module")

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
-from riskloom.functions.columns import share_true
+from riskloom.functions.columns import number_sql, share_true
 from riskloom.operators.quantiles import exact_quantiles
 
 
@@ -147,46 +147,47 @@ def _as_number(df, name):
 
 
 # --- class histograms ------------------------------------------------------------
-def clipped_by_class(loans: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict]:
-    """Long rows (feature, value, bad) with values limited to the good class's 2-98 % range."""
+def clipped_by_class(loans: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str], list[tuple[float, float]]]:
+    """Long rows (feature number, value, bad) limited to the good class's 2-98 % range.
+
+    Also returns the names and the limits behind the numbers; rows carry numbers only.
+    """
     limits = exact_quantiles(loans.filter(~F.col("is_default")), columns, [0.02, 0.98])
-    parts = []
-    for c in columns:
-        if limits[c] is None:
-            continue
-        low, high = limits[c]
-        value = F.col(c).cast("double")
-        parts.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value))).alias("value"),
-                F.lit(low).alias("low"),
-                F.lit(high).alias("high"),
-            )
-        )
-    long = loans.select(F.col("is_default").alias("bad"), F.explode(F.array(*parts)).alias("x")).select(
-        "bad", "x.*"
+    names = [c for c in columns if limits[c] is not None]
+    spans = [tuple(limits[c]) for c in names]
+    clipped = [
+        F.expr(f"CASE WHEN {c} IS NOT NULL THEN greatest({number_sql(lo)}, least({number_sql(hi)}, CAST({c} AS DOUBLE))) END").alias(f"v{i}")
+        for i, (c, (lo, hi)) in enumerate(zip(names, spans))
+    ]
+    long = (
+        loans.select(F.col("is_default").alias("bad"), *clipped)
+        .select("bad", F.posexplode(F.array(*(f"v{i}" for i in range(len(names))))).alias("at", "value"))
+        .filter(F.col("value").isNotNull())
     )
-    return long.filter(F.col("value").isNotNull()), limits
+    return long, names, spans
+
+
+def _of_feature(numbers) -> Column:
+    """The figure of the row's feature from a short list."""
+    return F.expr(f"element_at(array({', '.join(numbers)}), at + 1)")
 
 
 def class_histograms(
     loans: DataFrame, columns: Sequence[str] = K.HISTOGRAM_COLUMNS, bins: int = 40
 ) -> DataFrame:
     """Density per feature, class and slot of the winsorised values."""
-    long, _ = clipped_by_class(loans, columns)
-    width = (F.col("high") - F.col("low")) / bins
-    slot = F.when(width > 0, F.least(F.floor((F.col("value") - F.col("low")) / width), F.lit(bins - 1))).otherwise(0)
-    counts = long.groupBy("feature", "bad", slot.cast("int").alias("slot"), width.alias("width")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    of_class = F.sum("n").over(Window.partitionBy("feature", "bad"))  # at most `bins` rows each
+    long, names, spans = clipped_by_class(loans, columns)
+    low = _of_feature(number_sql(lo) for lo, _ in spans)
+    width = _of_feature(number_sql((hi - lo) / bins) for lo, hi in spans)
+    slot = F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - low, width)), F.lit(bins - 1)), F.lit(0))
+    counts = long.groupBy("at", "bad", slot.cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    of_class = F.sum("n").over(Window.partitionBy("at", "bad"))  # at most `bins` rows each
     return counts.select(
-        "feature",
+        _of_feature(f"'{c}'" for c in names).alias("feature"),
         F.col("bad").cast("int").alias("is_default"),
         "slot",
         "n",
-        F.round(F.try_divide(F.col("n").cast("double"), of_class * F.col("width")), 9).alias("density"),
+        F.round(F.try_divide(F.col("n").cast("double"), of_class * width), 9).alias("density"),
     )
 
 
@@ -199,21 +200,21 @@ def feature_ks(
     range, each starting from the total of the slices before it, so no task has to order
     a whole column.
     """
-    long, _ = clipped_by_class(loans, columns)
-    slice_no = F.when(
-        F.col("high") > F.col("low"),
-        F.floor((F.col("value") - F.col("low")) / (F.col("high") - F.col("low")) * slices),
-    ).otherwise(0)
-    counts = long.groupBy("feature", slice_no.alias("slice"), "value").agg(
+    long, names, spans = clipped_by_class(loans, columns)
+    low = _of_feature(number_sql(lo) for lo, _ in spans)
+    width = _of_feature(number_sql((hi - lo) / slices) for lo, hi in spans)
+    # never NULL, or the null checks of the join below would keep Spark from sharing the counts
+    slice_no = F.coalesce(F.floor(F.try_divide(F.col("value") - low, width)), F.lit(0))
+    counts = long.groupBy("at", slice_no.alias("slice"), "value").agg(
         F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")
     )
-    before = Window.partitionBy("feature").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("feature")
+    before = Window.partitionBy("at").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("at")
     starts = (
-        counts.groupBy("feature", "slice")
+        counts.groupBy("at", "slice")
         .agg(F.sum("bad").alias("sb"), F.sum("good").alias("sg"))
         .select(
-            "feature",
+            "at",
             "slice",
             F.coalesce(F.sum("sb").over(before), F.lit(0)).alias("b0"),
             F.coalesce(F.sum("sg").over(before), F.lit(0)).alias("g0"),
@@ -221,20 +222,18 @@ def feature_ks(
             F.sum("sg").over(whole).alias("all_good"),
         )
     )
-    inside = (
-        Window.partitionBy("feature", "slice").orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
+    inside = Window.partitionBy("at", "slice").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     running = counts.select(
-        "feature", "slice", F.sum("bad").over(inside).alias("b"), F.sum("good").over(inside).alias("g")
+        "at", "slice", F.sum("bad").over(inside).alias("b"), F.sum("good").over(inside).alias("g")
     )
     gap = F.abs(
         F.try_divide((F.col("b0") + F.col("b")).cast("double"), F.col("all_bad"))
         - F.try_divide((F.col("g0") + F.col("g")).cast("double"), F.col("all_good"))
     )
     return (
-        running.join(starts, ["feature", "slice"])
-        .groupBy("feature")
+        running.join(starts, ["at", "slice"])
+        .groupBy("at")
         .agg(F.round(F.max(gap), 6).alias("ks"))
+        .select(_of_feature(f"'{c}'" for c in names).alias("feature"), "ks")
         .orderBy("feature")
     )

@@ -131,7 +131,7 @@ def _values_at(df, brackets, ranks) -> dict[str, dict[int, float]]:
     ends = per_column(lambda c: [number_sql(high) for _, high in brackets[c]])
     wanted = per_column(lambda c: [f"{r}L" for r in ranks[c]])
     segment = F.size(F.filter(starts, lambda x: x <= F.col("v"))) + F.size(F.filter(ends, lambda x: x < F.col("v")))
-    placed = counts.withColumn("s", segment)
+    placed = counts.withColumn("s", F.coalesce(segment, F.lit(0)))
     before = Window.partitionBy("c").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy("c", "s").agg(F.sum("n").alias("size"))
@@ -139,20 +139,21 @@ def _values_at(df, brackets, ranks) -> dict[str, dict[int, float]]:
     )
     within = Window.partitionBy("c", "s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     hits = (
-        placed.filter(F.col("s") % 2 == 1)
-        .withColumn("upto", F.sum("n").over(within))
+        placed.withColumn("upto", F.sum("n").over(within))
         .join(offsets, ["c", "s"])
         .withColumn("upto", F.col("upto") + F.col("offset"))
         .select(
             "c",
+            "s",
             "v",
             F.filter(wanted, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))).alias("hit"),
         )
         .filter(F.size("hit") > 0)
     )
     for row in hits.collect():  # at most two values per column and quantile
-        for r in row["hit"]:
-            found[names[row["c"]]][r] = row["v"]
+        if row["s"] % 2 == 1:  # in a bracket, not a stand-in
+            for r in row["hit"]:
+                found[names[row["c"]]][r] = row["v"]
     return found
 
 

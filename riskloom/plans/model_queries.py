@@ -21,8 +21,8 @@ from riskloom.plans.base_sql import on_loans
 from riskloom.plans.book import loans
 from riskloom.plans.metric_sql import measures
 from riskloom.plans.portfolio_queries import QUERIES as PORTFOLIO
+from riskloom.plans.scoring_queries import PD_RATINGS, POINTS, REQUESTS, SERVICE_PD, requests
 from riskloom.plans.scoring_queries import QUERIES as SCORING
-from riskloom.plans.scoring_queries import requests
 from riskloom.plans.validation_queries import _FINAL, final_scored
 from riskloom.session import work_folder
 from riskloom.sources import readers, sinks, testbook
@@ -236,7 +236,12 @@ QUERIES = {
         snapshot_table,
         on_loans("""SELECT '2024-01-31' AS snapshot_date, COUNT(DISTINCT grade) AS n, COUNT(*) AS loans, CAST(SUM(loan_amnt) AS DOUBLE) AS exposure FROM loans"""),
     ),
-    "stream_scoring": (stream_scoring, None),
+    "stream_scoring": (
+        stream_scoring,
+        on_loans(f"""{REQUESTS}, pds AS (SELECT loan_id, {SERVICE_PD} AS p FROM requests)
+        SELECT CAST(loan_id AS VARCHAR) AS loan_ref, 'PD' AS model_type, ROUND(p, 6) AS prediction, {POINTS} AS score,
+          {PD_RATINGS['service']} AS rating FROM pds"""),
+    ),
     "stream_monitor": (
         stream_monitor,
         f"""WITH days AS (SELECT DATE_TRUNC('day', ts) AS window_start, FLOOR(value / 50) * 50 AS band, COUNT(*) AS n,

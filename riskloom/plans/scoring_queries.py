@@ -34,7 +34,7 @@ _ADJUST = ("CASE purpose WHEN 'small_business' THEN 0.08e0 WHEN 'medical' THEN 0
            "WHEN 'credit_card' THEN 0.02e0 WHEN 'home_improvement' THEN -0.02e0 ELSE 0e0 END"
            " + CASE home_ownership WHEN 'RENT' THEN 0.05e0 WHEN 'OWN' THEN -0.03e0 ELSE 0e0 END")
 _BASIC_PD = logistic(basic_terms("fico_score", "dti", "int_rate", "annual_inc", "emp_length"))
-_SERVICE_PD = logistic(
+SERVICE_PD = logistic(
     basic_terms("fico_score", "dti", "int_rate", "annual_inc", "emp_length") + f" + revol_util * 0.008e0 + {_ADJUST}"
 )
 _BASE = "GREATEST(loan_amnt, 1e0)"
@@ -97,8 +97,9 @@ def decided(s, d):
 
 
 def quarantine(s, d):
-    """Rejected requests with the fields that were out of range."""
-    _, bad = S.split_valid(requests(s, d))
+    """Rejected requests with the fields that were out of range, after a shock to the inputs."""
+    shocked = requests(s, d).withColumns({"dti": F.col("dti") * 1.5, "fico_score": F.col("fico_score") + 10})
+    _, bad = S.split_valid(shocked)
     return bad.select("loan_id", F.array_join("violations", ",").alias("violations"))
 
 
@@ -230,7 +231,7 @@ _STRESS = on_loans(f"""sums AS (SELECT home_ownership, CAST(SUM(loan_amnt) AS DO
 QUERIES = {
     "pd_scores": (
         lambda s, d: S.score_pd(requests(s, d)),
-        on_loans(f"""{REQUESTS}, pds AS (SELECT loan_id, loan_amnt, {_SERVICE_PD} AS p FROM requests)
+        on_loans(f"""{REQUESTS}, pds AS (SELECT loan_id, loan_amnt, {SERVICE_PD} AS p FROM requests)
         SELECT loan_id, ROUND(p, 6) AS pd, ROUND(p * 100, 4) AS pd_pct, {POINTS} AS score, {PD_RATINGS['service']} AS rating,
           {RISK} AS risk_label, {money('loan_amnt * p * 0.45e0')} AS expected_loss FROM pds"""),
     ),
@@ -271,7 +272,7 @@ QUERIES = {
     ),
     "expected_loss": (
         lambda s, d: S.score_portfolio(requests(s, d)),
-        on_loans(f"""{REQUESTS}, parts AS (SELECT loan_id, ROUND({_SERVICE_PD}, 6) AS pd,
+        on_loans(f"""{REQUESTS}, parts AS (SELECT loan_id, ROUND({SERVICE_PD}, 6) AS pd,
           ROUND(GREATEST(0.01e0, LEAST(0.99e0, 0.45e0 - 0e0 + {_HOME_LGD} + 0e0 - 0e0)), 6) AS lgd, COALESCE(ead, loan_amnt) AS ead FROM requests)
         SELECT *, {money('pd * lgd * ead')} AS expected_loss FROM parts"""),
     ),
@@ -283,7 +284,7 @@ QUERIES = {
     ),
     "decision_bands": (
         decided,
-        on_loans(f"""{REQUESTS}, {_EAD_SERVICE}, d AS (SELECT {_SERVICE_PD} AS p, {_SERVICE_LGD} AS g, u * 100 AS util FROM ccfs)
+        on_loans(f"""{REQUESTS}, {_EAD_SERVICE}, d AS (SELECT {SERVICE_PD} AS p, {_SERVICE_LGD} AS g, u * 100 AS util FROM ccfs)
         SELECT CASE WHEN p < 0.05 THEN 'eligible' WHEN p < 0.15 THEN 'guarantees' ELSE 'not_recommended' END AS pd_decision,
           CASE WHEN g < 0.3 THEN 'low' WHEN g < 0.6 THEN 'moderate' ELSE 'high' END AS lgd_decision,
           CASE WHEN util < 30 THEN 'low' WHEN util < 70 THEN 'moderate' ELSE 'high' END AS ead_decision, COUNT(*) AS n FROM d GROUP BY ALL"""),
@@ -291,7 +292,8 @@ QUERIES = {
     "stress_grid": (lambda s, d: S.stress_grid(loans(s, d)), _STRESS),
     "input_quarantine": (
         quarantine,
-        on_loans(f"""{REQUESTS}, checked AS (SELECT loan_id, CONCAT_WS(','{_RANGES}) AS violations FROM requests)
+        on_loans(f"""{REQUESTS}, shocked AS (SELECT * REPLACE (dti * 1.5e0 AS dti, fico_score + 10 AS fico_score) FROM requests),
+        checked AS (SELECT loan_id, CONCAT_WS(','{_RANGES}) AS violations FROM shocked)
         SELECT * FROM checked WHERE violations <> ''"""),
     ),
     "scorecard_points": (

@@ -30,7 +30,7 @@ def test_entry_has_one_row_per_grade(spark):
 
 
 def test_every_query_has_sql_or_is_known_not_to():
-    assert set(contract.queries()) - set(SQL) == MODELS | {"stream_scoring"}
+    assert set(contract.queries()) - set(SQL) == MODELS
 
 
 def test_stream_gives_the_batch_predictions(spark):

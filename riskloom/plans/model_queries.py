@@ -176,7 +176,8 @@ def stream_scoring(s, d) -> DataFrame:
     path = work_folder(s, "stream-scores")
     SS.start_append(scored, path, work_folder(s, "stream-scores-progress")).awaitTermination()
     return s.read.schema(scored.schema).parquet(path).select(
-        "loan_ref", "model_type", F.col("prediction").cast("double").alias("prediction"), "score", "rating"
+        "loan_ref", "model_type", F.col("prediction").cast("double").alias("prediction"),
+        F.col("score").cast("int").alias("score"), "rating",
     )
 
 

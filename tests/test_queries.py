@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from riskloom.plans import catalog
 from tests.conftest import SMALL
 from tests.oracle import compare, connect
 
-SQL = contract.oracle_sql()
+SQL = catalog.ORACLE_SQL
 # fitted on the middle folder in test_models; the smallest has too few defaults
 MODELS = {"train_pd", "train_scorecard", "train_lgd", "train_ead", "feature_importance", "model_scoring", "run_log", "refit_comparison"}
 
@@ -30,7 +31,7 @@ def test_entry_has_one_row_per_grade(spark):
 
 
 def test_every_query_has_sql_or_is_known_not_to():
-    assert set(contract.queries()) - set(SQL) == MODELS
+    assert set(catalog.QUERIES) - set(SQL) == MODELS
 
 
 def test_stream_gives_the_batch_predictions(spark):

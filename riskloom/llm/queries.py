@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import chat, exact_dedup, mixing, sharding, topk_hash
+from riskloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, sharding, topk_hash
 from riskloom.llm.common import table
-from riskloom.llm.sql import CHAT_SQL, EXACT_DEDUP_SQL, MIXING_SQL, TOPK_SQL
+from riskloom.llm.sql import CHAT_SQL, EXACT_DEDUP_SQL, MIXING_SQL, NEAR_DEDUP_SQL, TOPK_SQL
 
 SHARDS = 8
 NEIGHBOURS = 10
 
 
+def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=80)
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), vocabulary_path(), ids=False)
+    return coded.drop("ids")
+
+
 def shard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -55,6 +70,8 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_dedup": (near_dedup_query, NEAR_DEDUP_SQL),
+    "op4_bpe": (bpe_query, None),
     "op6_sharding": (shard_query, None),
     "op7_chat_formatting": (chat_query, CHAT_SQL),
     "op8_exact_dedup": (exact_dedup_query, EXACT_DEDUP_SQL),

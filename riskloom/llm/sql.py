@@ -59,3 +59,22 @@ p AS (
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id)::INT AS rank FROM p)
 SELECT * FROM r WHERE rank <= 10
 """
+
+NEAR_DEDUP_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS set
+  FROM d
+), x AS (SELECT doc_id, unnest(set) AS shingle FROM s),
+p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM x AS a JOIN x AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+), e AS (
+  SELECT u, v FROM p JOIN s AS a ON a.doc_id = u JOIN s AS b ON b.doc_id = v WHERE 100 * shared >= 80 * (len(a.set) + len(b.set) - shared)
+), r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.node)
+SELECT s.doc_id, len(s.set)::BIGINT AS n_shingles, min(r.root) AS component_id, s.doc_id = min(r.root) AS kept
+FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.set
+"""

@@ -62,8 +62,10 @@ def _by_segment(codes: DataFrame) -> DataFrame:
     return codes.select("*", F.explode(pairs).alias("_at")).select("*", "_at.s", "_at.v").drop("_at")
 
 
-def _masks(radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
+def _masks(radius: int) -> Column:
+    """Array of all segment values with ``radius`` bits set."""
+    masks = [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
+    return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
 
 
 def _verify(keep: int):
@@ -141,7 +143,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     for radius in range(WIDTH + 1):
         probes = (
             _by_segment(open_queries.withColumnRenamed("query", "code"))
-            .select("s", F.col("code").alias("query"), F.explode(F.array(*[F.lit(m).cast("bigint") for m in _masks(radius)])).alias("mask"), "v")
+            .select("s", F.col("code").alias("query"), F.explode(_masks(radius)).alias("mask"), "v")
             .select("s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), "query")
             .groupBy("s", "v", F.pmod(F.xxhash64("query"), F.lit(query_chunks)).alias("c"))
             .agg(F.collect_list("query").alias("queries"))

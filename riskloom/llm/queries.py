@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, sharding, topk_hash
+from riskloom.llm import bpe, chat, exact_dedup, langid, mixing, near_dedup, sharding, topk_hash, toxicity
 from riskloom.llm.common import table
 from riskloom.llm.sql import CHAT_SQL, EXACT_DEDUP_SQL, MIXING_SQL, NEAR_DEDUP_SQL, TOPK_SQL
 
@@ -28,6 +28,14 @@ def bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.drop("ids")
 
 
+def langid_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def shard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select(
@@ -70,8 +78,10 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": (langid_query, None),
     "op2_near_dedup": (near_dedup_query, NEAR_DEDUP_SQL),
     "op4_bpe": (bpe_query, None),
+    "op5_toxicity": (toxicity_query, None),
     "op6_sharding": (shard_query, None),
     "op7_chat_formatting": (chat_query, CHAT_SQL),
     "op8_exact_dedup": (exact_dedup_query, EXACT_DEDUP_SQL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, exact_dedup, langid, mixing, near_dedup, sharding, topk_hash, toxicity
+from riskloom.llm import bpe, chat, exact_dedup, langid, mixing, near_dedup, repeats, sharding, topk_hash, toxicity
 from riskloom.llm.common import table
 from riskloom.llm.sql import CHAT_SQL, EXACT_DEDUP_SQL, MIXING_SQL, NEAR_DEDUP_SQL, TOPK_SQL
 
@@ -17,6 +17,10 @@ def near_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=80)
 
 
+def repeats_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), text=False).drop("kept", "spans")
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -80,6 +84,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": (langid_query, None),
     "op2_near_dedup": (near_dedup_query, NEAR_DEDUP_SQL),
+    "op3_suffix_dedup": (repeats_query, None),
     "op4_bpe": (bpe_query, None),
     "op5_toxicity": (toxicity_query, None),
     "op6_sharding": (shard_query, None),

@@ -4,8 +4,8 @@ The labelled rows a model is fitted on are a bounded sample, ``TRAIN_ROWS`` rows
 hash of doc_id, cut by another hash into ``PARTS``. A lexicon holds words whose share of toxic
 documents stands out, each with its log odds; a row that is learned from sees a lexicon made
 without its part, so no word counts for it because of its own label. On all parts but the
-last, trees are boosted over lexicon densities, closeness of lexicon words to the second
-person, capitals, punctuation and obfuscation. On the last, isotonic regression maps margins
+last ``CALIBRATE``, trees are boosted over lexicon densities, closeness of lexicon words to the second
+person, capitals, punctuation and obfuscation. On those, isotonic regression maps margins
 to probabilities.
 Every document of the table is then scored on its whole text; text is the only input.
 
@@ -39,7 +39,7 @@ THRESHOLD = 0.3
 STRONG = 4.0  # log odds
 SURE = 2.5  # log odds in standard errors
 TREES, DEPTH = 20, 3
-PARTS = 5
+PARTS, CALIBRATE = 5, 2
 HELD_OUT = 2
 
 _TOKEN = re.compile(r"[^\W\d_]+")
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> ToxicityM
         for p, words in enumerate(others)
     ]
     ready = staged(reduce(DataFrame.unionByName, made).repartition(4), "toxicity-features")
-    grow, check = ready.where(F.col("part") < PARTS - 1), ready.where(F.col("part") == PARTS - 1)
+    grow, check = ready.where(F.col("part") < PARTS - CALIBRATE), ready.where(F.col("part") >= PARTS - CALIBRATE)
     if grow.select("label").distinct().count() < 2 or check.isEmpty():
         grow = check = ready
     trees = GBTClassifier(

@@ -5,12 +5,14 @@
    Documents with the same set are one class from here on.
 2. Classes that share a band key are candidates. At a similarity of 0.8 a pair shares none
    of 28 bands of 4 rows with a probability of 4e-7.
-3. Candidates are verified: signature agreement first (a pair at 0.8 falls short of the
-   allowed agreement with a probability below 1e-6), then the full shingle sets.
-4. Not all pairs of a bucket are formed. Each class is compared with the hub of its buckets,
-   confirmed links are contracted to components, and only pairs whose components still
-   differ are looked at again, with other hubs; the pairs then left are all compared.
-   So every candidate pair is linked, in one component anyway, or was compared.
+3. Signatures are verified first: within a bucket, blocks of ``BLOCK`` classes meet block by
+   block, and only pairs of different components whose signatures agree well enough are
+   handed on (a pair at 0.8 falls short with a probability of 3e-6). Those are confirmed on
+   the full shingle sets of their texts.
+4. Not all pairs of a group are confirmed. In each pass a class brings its most promising
+   partner per pair of blocks; confirmed links are contracted to components, and what lies in
+   one component is not looked at again. When a pass joins nothing more, or after
+   ``PASSES``, all pairs that are left between different components are confirmed.
 5. Components come from alternating large-star and small-star steps on the edges.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and
@@ -21,7 +23,7 @@ repeated rows are returned as often as they come; an empty table gives an empty
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,9 @@ from riskloom.llm.common import arrow_rows, staged
 from riskloom.llm.shingles import minima, mix, shingle_sets, slices
 
 BANDS, ROWS = 28, 4
-SLACK = 0.2  # signature agreement may lie this far below the similarity
-HUB_ROUNDS = 8
+SLACK = 0.17  # signature agreement may lie this far below the similarity
+BLOCK = 1024
+PASSES = 3
 
 
 def _signatures(words: int):
@@ -54,8 +57,9 @@ def _signatures(words: int):
                         pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                         pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                         pa.array([None if e else k for e, k in zip(empty, keys, strict=True)], pa.list_(pa.int64())),
+                        pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "sum1", "sum2", "keys"],
+                    names=["doc_id", "n_shingles", "sum1", "sum2", "keys", "sketch"],
                 )
 
     return run
@@ -69,11 +73,9 @@ def _confirm(words: int, similarity: int):
             left, right = (
                 [s for _, data, offsets in slices(batch.column(c)) for s in shingle_sets(data, offsets, words)] for c in (2, 3)
             )
-            a, b = minima(left, BANDS * ROWS), minima(right, BANDS * ROWS)
-            alike = (a == b).mean(axis=1) >= similarity / 100 - SLACK
             good = []
             for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                if alike[i] and len(x) and len(y):
+                if len(x) and len(y):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
                     if 100 * shared >= similarity * (len(x) + len(y) - shared):
                         good.append(i)
@@ -108,26 +110,63 @@ def star_components(edges: DataFrame) -> DataFrame:
 
 
 def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
-    """The members (key, id, n, component) after their components were joined by ``links`` (u, v)."""
+    """The members (key, id, n, component) with the components that ``links`` (u, v) make."""
     m, c = members.alias("m"), star_components(links).alias("c")
-    return staged(
-        m.join(c, F.col("m.component") == F.col("c.node"), "left").select(
-            "m.key", "m.id", "m.n", F.coalesce("c.component", "m.component").alias("component")
-        ),
-        "members",
-    )
+    joined = m.join(c, F.col("m.id") == F.col("c.node"), "left")
+    return staged(joined.select("m.key", "m.id", "m.n", F.coalesce("c.component", "m.id").alias("component")), "members")
+
 
+def _promising(similarity: int, best: bool):
+    """Pairs of blocks (a, b) to pairs of classes whose components differ and signatures agree.
 
-def _hub_pairs(members: DataFrame, hub: Callable, similarity: int) -> DataFrame:
-    """u (hub), v, and their components, where those differ and the sizes allow a link."""
-    me = F.struct("id", "component", "n")
-    hubs = members.groupBy("key").agg(hub(me).alias("h"))
-    pairs = members.join(hubs, "key").where("component <> h.component")
-    sizes = 100 * F.least("n", "h.n") >= similarity * F.greatest("n", "h.n")
-    return pairs.where(sizes).select(
-        F.least("h.id", "id").alias("u"), F.greatest("h.id", "id").alias("v"),
-        F.col("h.component").alias("cu"), F.col("component").alias("cv"),
-    ).distinct()
+    ``best``: only the most alike partner of each class.
+    """
+    least = similarity / 100 - SLACK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[np.ndarray, ...]] = []
+            for i in range(batch.num_rows):
+                sides = []
+                for c in (0, 1):
+                    rows = batch.column(c)[i].values
+                    sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(rows), BANDS * ROWS)
+                    sides.append([np.asarray(rows.field(f)) for f in ("id", "component", "n")] + [sketch])
+                (ia, ca, na, sa), (ib, cb, nb, sb) = sides
+                for low in range(0, len(ia), 64):
+                    part = slice(low, low + 64)
+                    small, large = np.minimum(na[part, None], nb), np.maximum(na[part, None], nb)
+                    open_pairs = (ca[part, None] != cb) & (100 * small >= similarity * large)
+                    if not open_pairs.any():
+                        continue
+                    cols = np.flatnonzero(open_pairs.any(0))
+                    alike = (sa[part, None] == sb[cols]).mean(2, dtype=np.float32)
+                    alike[~open_pairs[:, cols] | (alike < least)] = -1
+                    if best:
+                        x = np.flatnonzero(alike.max(1) >= 0)
+                        y = alike[x].argmax(1)
+                    else:
+                        x, y = np.nonzero(alike >= 0)
+                    y = cols[y]
+                    found.append((np.minimum(ia[low + x], ib[y]), np.maximum(ia[low + x], ib[y])))
+            if found:
+                u, v = (np.concatenate(z) for z in zip(*found, strict=True))
+                u, v = np.unique(np.stack([u, v]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def _candidates(members: DataFrame, sketches: DataFrame, similarity: int, best: bool) -> DataFrame:
+    """u, v: pairs of classes of different components that may be alike."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = sizes.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    rows = members.join(mixed, "key").join(sketches, "id")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
+    blocks = staged(rows.groupBy("key", block).agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias("rows")), "blocks")
+    a, b = blocks.alias("a"), blocks.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block"))).select(F.col("a.rows").alias("a"), F.col("b.rows").alias("b"))
+    return met.mapInArrow(_promising(similarity, best), "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
@@ -136,13 +175,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     arrow_rows(spark)
     sig = staged(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _signatures(words), "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, keys array<bigint>"
+            _signatures(words), "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, keys array<bigint>, sketch binary"
         ),
         "signatures",
     )
     known = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["n_shingles", "sum1", "sum2"]
-    classes = staged(known.groupBy(*same).agg(F.min(F.struct("doc_id", "keys")).alias("r")).select(*same, "r.doc_id", "r.keys"), "set-classes")
+    classes = staged(known.groupBy(*same).agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("r")).select(*same, "r.doc_id", "r.keys", "r.sketch"), "set-classes")
     rows = classes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = staged(rows.join(shared, "key").withColumn("component", F.col("id")), "members")
@@ -150,46 +189,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     d = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).alias("d")
     texts = d.join(wanted, F.col("d.id") == F.col("w.id"), "left_semi")
     texts = staged(texts.dropDuplicates(["id"]), "candidate-texts")
-    tested = None
-
-    def compare(pairs: DataFrame) -> bool:
-        """Verifies the pairs not met before; tells whether components were joined."""
-        nonlocal tested, members
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        if pairs.isEmpty():
-            return False
-        now = pairs.select("u", "v")
-        tested = now if tested is None else tested.unionByName(now)
-        x = now.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-        x = x.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-        sure = staged(x.select("u", "v", "tu", "tv").mapInArrow(_confirm(words, similarity), "u bigint, v bigint"), "confirmed")
-        joined = sure.join(pairs, ["u", "v"]).select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        if joined.isEmpty():
-            return False
-        members = _relabel(members, joined)
-        return True
-
-    # one hub per class first, which settles most groups with one comparison each
-    first = _hub_pairs(members, F.min, similarity)
-    compare(first.groupBy("v").agg(F.min(F.struct("u", "cu", "cv")).alias("p")).select("p.u", "v", "p.cu", "p.cv"))
-    for r in range(HUB_ROUNDS):
-        hub = (F.min, F.max)[r % 2]
-        if r > 1:
-            salt = r
-            hub = lambda me: F.min_by(me, F.xxhash64(F.col("id"), F.lit(salt)))  # noqa: B023, E731
-        compare(_hub_pairs(members, hub, similarity))
-        counts = members.groupBy("key", "component").agg(F.count("*").alias("c"))
-        rest = counts.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("p"), F.sum("c").alias("m"))
-        pairs, rows_left = rest.where("p > 0").agg(F.sum("p"), F.sum("m")).first()
-        if not pairs or pairs <= 20 * rows_left:
+    sketches = classes.select(F.col("doc_id").alias("id"), "sketch")
+    tested = links = None
+    best, passes = True, 0
+    while True:
+        pairs = _candidates(members, sketches, similarity, best)
+        pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
+        joined = False
+        if not pairs.isEmpty():
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            x = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+            x = x.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
+            sure = staged(x.select("u", "v", "tu", "tv").mapInArrow(_confirm(words, similarity), "u bigint, v bigint"), "confirmed")
+            joined = not sure.isEmpty()
+        if joined:
+            links = sure if links is None else links.unionByName(sure)
+            members = _relabel(members, links)
+        if not best:
             break
-    # whatever is left between different components
-    a, b = members.alias("a"), members.alias("b")
-    sizes = 100 * F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n")
-    left = a.join(b, F.col("a.key") == F.col("b.key")).where("a.component <> b.component AND a.id < b.id").where(sizes)
-    compare(left.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.col("a.component").alias("cu"), F.col("b.component").alias("cv")).distinct())
+        passes += 1
+        best = joined and passes < PASSES
     found = members.select("id", "component").distinct().alias("f")
     c = classes.alias("c")
     labelled = staged(

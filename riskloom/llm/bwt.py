@@ -39,9 +39,9 @@ def _sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
     n = len(text)
     wide = np.resize(text, n + 8) if n else text
     key = np.zeros(n, np.uint64)
-    for i in range(8):
+    known = min(8, depth)
+    for i in range(known):
         key = (key << np.uint64(8)) | wide[i : i + n].astype(np.uint64)
-    known = 8
     while True:
         order = np.argsort(key, kind="stable")
         ordered = key[order]

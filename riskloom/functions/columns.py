@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -53,15 +54,18 @@ def share_true(flag: Column | str) -> Column:
     return F.try_divide(F.count_if(col(flag)).cast("double"), F.count(F.lit(1)))
 
 
-def banded(c: Column | str, bands: Sequence[tuple[float, object]], top: object, *, inclusive=False) -> Column:
-    """First label whose upper limit lies above the value (or equals it, if inclusive)."""
+def banded(c: Column | str, bands: Sequence[tuple[float, object]], top: object, *, inclusive=False, unknown: object = None) -> Column:
+    """First label whose upper limit lies above the value (or equals it, if inclusive).
+
+    An unknown value has no label, unless ``unknown`` names one.
+    """
     value = col(c)
     steps = [((value <= limit) if inclusive else (value < limit), label) for limit, label in bands]
     first_condition, first_label = steps[0]
     chain = F.when(first_condition, F.lit(first_label))
     for condition, label in steps[1:]:
         chain = chain.when(condition, F.lit(label))
-    return chain.otherwise(F.lit(top))
+    return F.when(value.isNull(), F.lit(unknown)).otherwise(chain.otherwise(F.lit(top)))
 
 
 def looked_up(c: Column | str, table: Mapping[str, float], missing: float) -> Column:
@@ -71,7 +75,7 @@ def looked_up(c: Column | str, table: Mapping[str, float], missing: float) -> Co
 
 
 def number_sql(x: float) -> str:
-    return f"{float(x)!r}D"
+    return f"{float(x)!r}D" if math.isfinite(x) else f"double('{float(x)}')"
 
 
 def _slot(name: str, edges: Sequence[float], reaches: str) -> Column:

@@ -170,12 +170,12 @@ def to_feature_woe(woe: DataFrame, model_type: str = "PD") -> DataFrame:
 
 # --- coarse classes --------------------------------------------------------------
 def coarse_fico(c: Column | str = "fico_avg") -> Column:
-    return banded(c, K.FICO_COARSE, K.FICO_COARSE_TOP)
+    return banded(c, K.FICO_COARSE, K.FICO_COARSE_TOP, unknown=K.FICO_COARSE_TOP)
 
 
 def coarse_dti(c: Column | str = "dti") -> Column:
     """A missing ratio falls in the last class."""
-    return banded(c, K.DTI_COARSE, K.DTI_COARSE_TOP)
+    return banded(c, K.DTI_COARSE, K.DTI_COARSE_TOP, unknown=K.DTI_COARSE_TOP)
 
 
 def coarse_class_rates(loans: DataFrame, label: Column) -> DataFrame:

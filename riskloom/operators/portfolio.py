@@ -292,6 +292,7 @@ def vintage_grade_pivot(loans: DataFrame, quarters: int = 20) -> DataFrame:
         _by_quarter(loans)
         .pivot("grade", list(K.GRADES))
         .agg(F.round(share_true("is_default") * 100, 6))
+        .where(F.coalesce(*K.GRADES).isNotNull())  # quarters without any grade take no place
         .orderBy(F.col("quarter_start").desc())
         .limit(quarters)
         .select(label.alias("issue_quarter"), *K.GRADES)

@@ -47,7 +47,7 @@ MODEL_PREDICTIONS = """
 
 MODEL_METRICS = """
     model_type string, model_version string, metric_name string,
-    metric_value decimal(10,6), evaluation_date date, dataset string
+    metric_value decimal(16,6), evaluation_date date, dataset string
 """
 
 PORTFOLIO_SNAPSHOTS = """

@@ -32,7 +32,11 @@ def work_folder(spark: SparkSession, name: str) -> str:
     It lies under the folder the cluster shares (``spark.checkpoint.dir``). Only where
     that is unset, as in tests on one machine, a temporary folder is used.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or _local_folder()
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _local_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

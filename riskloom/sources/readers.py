@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,26 +26,49 @@ PROJECTIONS = {
 }
 
 
+def _by_name(spark: SparkSession, path: str, schema: str, columns: Sequence[str], key: str, trim: bool = False) -> DataFrame:
+    """The named columns of a CSV file, wherever its header has them, cast to the schema.
+
+    ``_unread`` lists the columns whose value is no value of their type. A missing key column
+    is filled with row numbers; any other missing column is an error.
+    """
+    text = spark.read.option("header", True)
+    if trim:
+        text = text.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    rows = text.csv(path)
+    if key not in rows.columns:
+        rows = rows.withColumn(key, F.monotonically_increasing_id().cast("string"))
+    absent = [c for c in columns if c not in rows.columns]
+    if absent:
+        raise ValueError(f"the file has no column {', '.join(absent)}")
+    kinds = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
+    read = {c: F.col(c).try_cast(kinds[c]) for c in columns}
+    unread = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & v.isNull(), F.lit(c)) for c, v in read.items()]))
+    return rows.select(*[v.alias(c) for c, v in read.items()], unread.alias("_unread"))
+
+
 def read_loans_csv(spark: SparkSession, path: str, use: str = "load") -> DataFrame:
-    """Raw loans from CSV with a fixed schema; rows that do not fit it are dropped."""
-    return (
-        spark.read.schema(RAW_LOANS)
-        .option("header", True)
-        .option("mode", "DROPMALFORMED")
-        .csv(path)
-        .select(*PROJECTIONS[use])
-    )
+    """Raw loans from a CSV file with a header: columns by name, any order, others ignored.
+
+    Rows with an unreadable value are left to ``rejected_loans_csv``.
+    """
+    return _by_name(spark, path, RAW_LOANS, PROJECTIONS[use], "loan_id").where(F.size("_unread") == 0).drop("_unread")
+
+
+def rejected_loans_csv(spark: SparkSession, path: str, use: str = "load") -> DataFrame:
+    """The rows ``read_loans_csv`` leaves out, what could be read of them, and ``unread``: why."""
+    rows = _by_name(spark, path, RAW_LOANS, PROJECTIONS[use], "loan_id").where(F.size("_unread") > 0)
+    return rows.withColumnRenamed("_unread", "unread")
 
 
 def read_applications_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A batch-scoring file; blanks are gaps. Unreadable numbers become gaps too."""
-    return (
-        spark.read.schema("idx long, " + APPLICATIONS)
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
-    )
+    """A batch-scoring file, columns by name; blanks are gaps. Unreadable numbers become gaps too.
+
+    Files without ``idx`` get row numbers.
+    """
+    schema = "idx long, " + APPLICATIONS
+    columns = [f.name for f in spark.createDataFrame([], schema).schema]
+    return _by_name(spark, path, schema, columns, "idx", trim=True).drop("_unread")
 
 
 def read_saved_metrics(spark: SparkSession, path: str) -> DataFrame:

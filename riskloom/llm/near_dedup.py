@@ -58,8 +58,9 @@ def _signatures(words: int):
                         pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                         pa.array([None if e else k for e, k in zip(empty, keys, strict=True)], pa.list_(pa.int64())),
                         pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary()),
+                        pa.array([x.tobytes() for x in keys.astype(np.uint32)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "sum1", "sum2", "keys", "sketch"],
+                    names=["doc_id", "n_shingles", "sum1", "sum2", "keys", "sketch", "bands"],
                 )
 
     return run
@@ -119,7 +120,8 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 def _promising(similarity: int, best: bool):
     """Pairs of blocks (a, b) to pairs of classes whose components differ and signatures agree.
 
-    ``best``: only the most alike partner of each class.
+    ``best``: only the most alike partner of each class. Otherwise every pair, in the first of
+    the bands it shares only.
     """
     least = similarity / 100 - SLACK
 
@@ -131,8 +133,10 @@ def _promising(similarity: int, best: bool):
                 for c in (0, 1):
                     rows = batch.column(c)[i].values
                     sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(rows), BANDS * ROWS)
-                    sides.append([np.asarray(rows.field(f)) for f in ("id", "component", "n")] + [sketch])
-                (ia, ca, na, sa), (ib, cb, nb, sb) = sides
+                    bands = np.frombuffer(b"".join(rows.field("bands").to_pylist()), np.uint32).reshape(len(rows), BANDS)
+                    sides.append([np.asarray(rows.field(f)) for f in ("id", "component", "n")] + [sketch, bands])
+                (ia, ca, na, sa, ka), (ib, cb, nb, sb, kb) = sides
+                here = int((ka[0] == np.uint32(batch.column(2)[i].as_py() & 0xFFFFFFFF)).argmax())
                 for low in range(0, len(ia), 64):
                     part = slice(low, low + 64)
                     small, large = np.minimum(na[part, None], nb), np.maximum(na[part, None], nb)
@@ -148,6 +152,9 @@ def _promising(similarity: int, best: bool):
                     else:
                         x, y = np.nonzero(alike >= 0)
                     y = cols[y]
+                    if not best:
+                        new = ~(ka[low + x, :here] == kb[y, :here]).any(1)
+                        x, y = x[new], y[new]
                     found.append((np.minimum(ia[low + x], ib[y]), np.maximum(ia[low + x], ib[y])))
             if found:
                 u, v = (np.concatenate(z) for z in zip(*found, strict=True))
@@ -163,9 +170,9 @@ def _candidates(members: DataFrame, sketches: DataFrame, similarity: int, best:
     mixed = sizes.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     rows = members.join(mixed, "key").join(sketches, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
-    blocks = staged(rows.groupBy("key", block).agg(F.collect_list(F.struct("id", "component", "n", "sketch")).alias("rows")), "blocks")
+    blocks = staged(rows.groupBy("key", block).agg(F.collect_list(F.struct("id", "component", "n", "sketch", "bands")).alias("rows")), "blocks")
     a, b = blocks.alias("a"), blocks.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block"))).select(F.col("a.rows").alias("a"), F.col("b.rows").alias("b"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block"))).select(F.col("a.rows").alias("a"), F.col("b.rows").alias("b"), F.col("a.key").alias("key"))
     return met.mapInArrow(_promising(similarity, best), "u bigint, v bigint").distinct()
 
 
@@ -175,13 +182,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     arrow_rows(spark)
     sig = staged(
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _signatures(words), "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, keys array<bigint>, sketch binary"
+            _signatures(words), "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, keys array<bigint>, sketch binary, bands binary"
         ),
         "signatures",
     )
     known = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["n_shingles", "sum1", "sum2"]
-    classes = staged(known.groupBy(*same).agg(F.min(F.struct("doc_id", "keys", "sketch")).alias("r")).select(*same, "r.doc_id", "r.keys", "r.sketch"), "set-classes")
+    classes = staged(known.groupBy(*same).agg(F.min(F.struct("doc_id", "keys", "sketch", "bands")).alias("r")).select(*same, "r.doc_id", "r.keys", "r.sketch", "r.bands"), "set-classes")
     rows = classes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = staged(rows.join(shared, "key").withColumn("component", F.col("id")), "members")
@@ -189,7 +196,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     d = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).alias("d")
     texts = d.join(wanted, F.col("d.id") == F.col("w.id"), "left_semi")
     texts = staged(texts.dropDuplicates(["id"]), "candidate-texts")
-    sketches = classes.select(F.col("doc_id").alias("id"), "sketch")
+    sketches = classes.select(F.col("doc_id").alias("id"), "sketch", "bands")
     tested = links = None
     best, passes = True, 0
     while True:

@@ -1,16 +1,18 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
-A vector becomes a 64-bit code of signs. Codes are cut into segments; per segment an index
-maps a value to the distinct codes that hold it. A query probes every segment with all
-values within radius 0, then 1, 2, ...; what it meets is verified by the full Hamming
-distance. A code at distance d differs from the query by at most d // segments bits in some
-segment, so after radius r all codes up to ``segments * (r + 1) - 1`` have been met: once k
-verified neighbours lie within that, they are proven and the query leaves the rounds.
+A vector becomes a 64-bit code of signs. Codes are cut into segments of about log2(n / 16)
+bits for n distinct codes; per segment an index maps a value to the codes that hold it. A
+query probes every segment with all values within radius 0, then 1, 2, ...; what it meets is
+verified by the full Hamming distance. A code at distance d differs from the query by at most
+d // segments bits in some segment, so after radius r all codes up to
+``segments * (r + 1) - 1`` have been met: once k verified neighbours lie within that, they
+are proven and the query leaves the rounds.
 
 Copies never multiply work: the index holds each distinct code once, with the number of its
 rows (up to k + 1) and their smallest identifier, and queries with the same code are one
-query. Buckets meet as blocks (one row per segment value and chunk), are compared in numpy,
-and hand on at most k + 1 codes per query.
+query. Codes that share a value meet the queries as blocks of bounded size, spread over
+tasks however many codes hold it; blocks are compared in numpy, which hands on the nearest
+k + 1 codes per query only, none beyond the distance that is already certain.
 
 Defined cases: a null vector, or one with a null element, is neither indexed nor a query;
 ties in distance go to the smaller identifier; a query never finds its own identifier but
@@ -22,19 +24,19 @@ folded onto 64 signed sums.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import staged
+from riskloom.llm.common import arrow_rows, staged
 
 BITS = 64
-SEGMENTS = 4
-WIDTH = BITS // SEGMENTS
-CHUNK = 4096  # distinct codes per block of a bucket, on average
+FILL = 16  # distinct codes that hold a segment value, on average
+BLOCK = 4096  # codes or queries that meet as one row
+PAIRS = 1 << 20  # compared at a time
 
 
 def sign_code(vector: Column) -> Column:
@@ -53,57 +55,67 @@ def sign_code(vector: Column) -> Column:
     return F.when(vector.isNotNull() & ~F.exists(vector, lambda x: x.isNull()), whole)
 
 
-def _segment(code: Column, s: int) -> Column:
-    return F.shiftrightunsigned(code, s * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+def _widths(codes: int) -> list[int]:
+    """Bits of each segment: a segment value is held by about ``FILL`` of the codes, at any number of them."""
+    wide = min(32, max(4, (codes // FILL).bit_length()))
+    segments = -(-BITS // wide)
+    return [BITS // segments + (s < BITS % segments) for s in range(segments)]
 
 
-def _by_segment(codes: DataFrame) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(s).alias("s"), _segment(F.col("code"), s).alias("v")) for s in range(SEGMENTS)])
+def _by_segment(codes: DataFrame, widths: list[int]) -> DataFrame:
+    """The rows once per segment, with its number s and the value v of ``code`` in it."""
+    low = [sum(widths[:s]) for s in range(len(widths))]
+    values = [F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(low, widths, strict=True)]
+    pairs = F.array(*[F.struct(F.lit(s).alias("s"), v.alias("v")) for s, v in enumerate(values)])
     return codes.select("*", F.explode(pairs).alias("_at")).select("*", "_at.s", "_at.v").drop("_at")
 
 
-def _masks(radius: int) -> Column:
+def _masks(width: int, radius: int) -> Column:
     """Array of all segment values with ``radius`` bits set."""
-    masks = [sum(1 << b for b in bits) for bits in combinations(range(WIDTH), radius)]
+    masks = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
     return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
 
 
+def _nearest(keep: int, q, code, first, rows, d) -> tuple[np.ndarray, ...]:
+    """Of found codes the ``keep`` nearest per query, each once; the smaller identifier wins a tie."""
+    order = np.lexsort((code, first, d, q))
+    q, code, first, rows, d = (x[order] for x in (q, code, first, rows, d))
+    new = np.r_[True, (q[1:] != q[:-1]) | (code[1:] != code[:-1])]
+    q, code, first, rows, d = (x[new] for x in (q, code, first, rows, d))
+    starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
+    near = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)])) < keep
+    return tuple(x[near] for x in (q, code, first, rows, d))
+
+
 def _verify(keep: int):
-    """Blocks of queries against blocks of codes: the nearest ``keep`` codes per query."""
+    """Blocks of queries against blocks of codes: the nearest ``keep`` codes per query, within its bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {n: batch.column(n) for n in batch.schema.names}
-            found: list[tuple[np.ndarray, ...]] = []
-            for i in range(batch.num_rows):
-                q, code, first, rows = (
-                    np.asarray(x.values.slice(x.offsets[i].as_py(), x.offsets[i + 1].as_py() - x.offsets[i].as_py()))
-                    for x in (cols[n] for n in ("queries", "codes", "firsts", "counts"))
-                )
-                for low in range(0, len(q), 256):
-                    part = q[low : low + 256]
-                    d = np.bitwise_count((part[:, None] ^ code[None, :]).view(np.uint64))  # of signed values it counts the magnitude
-                    if len(code) > keep:
-                        # distance first, then the smallest identifier
-                        by_first = np.argsort(first, kind="stable")
-                        pick = by_first[np.argsort(d[:, by_first], axis=1, kind="stable")[:, :keep]]
-                    else:
-                        pick = np.broadcast_to(np.arange(len(code)), d.shape)
-                    found.append((np.repeat(part, pick.shape[1]), code[pick].ravel(), first[pick].ravel(), rows[pick].ravel(), np.take_along_axis(d, pick, 1).ravel()))
-            if not found:
-                continue
-            q, code, first, rows, d = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((code, first, d, q))
-            q, code, first, rows, d = (x[order] for x in (q, code, first, rows, d))
-            new = np.r_[True, (q[1:] != q[:-1]) | (code[1:] != code[:-1])]
-            q, code, first, rows, d = (x[new] for x in (q, code, first, rows, d))
-            starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-            rank = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-            near = rank < keep
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(q[near]), pa.array(code[near]), pa.array(first[near]), pa.array(rows[near]), pa.array(d[near].astype(np.int32))],
-                names=["query", "code", "first", "count", "distance"],
-            )
+            asked, known = batch.column(0), batch.column(1)
+            q, bound = (np.asarray(asked.values.field(c)) for c in ("query", "bound"))
+            code, first, rows = (np.asarray(known.values.field(c)) for c in ("code", "first", "count"))
+            qa, ca = np.asarray(asked.offsets), np.asarray(known.offsets)
+            # every query once per block it meets, and how many codes stand there
+            block = np.repeat(np.arange(batch.num_rows), np.diff(qa))
+            at, n = np.arange(qa[0], qa[-1]), np.diff(ca)[block]
+            cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()) + PAIRS, PAIRS), "right")
+            best: tuple[np.ndarray, ...] | None = None
+            a = 0
+            for b in np.unique(np.r_[cuts, len(n)]).tolist():
+                if b <= a:
+                    continue
+                m = n[a:b]
+                left = np.repeat(at[a:b], m)
+                right = np.arange(len(left)) + np.repeat(ca[block[a:b]] - np.r_[0, np.cumsum(m)[:-1]], m)
+                d = np.bitwise_count((q[left] ^ code[right]).view(np.uint64))  # of signed values it counts the magnitude
+                good = d <= bound[left]
+                left, right = left[good], right[good]
+                found = q[left], code[right], first[right], rows[right], d[good].astype(np.int32)
+                best = _nearest(keep, *(found if best is None else (np.concatenate(x) for x in zip(best, found, strict=True))))
+                a = b
+            if best is not None and len(best[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query", "code", "first", "count", "distance"])
 
     return run
 
@@ -113,52 +125,60 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both tables hold (id, vector).
     """
-    spark = vectors.sparkSession
+    arrow_rows(vectors.sparkSession, 2000)
     keep = k + 1  # one may be the query itself
-    rows = staged(vectors.select("id", sign_code(F.col("vector")).alias("code")).where("code IS NOT NULL AND id IS NOT NULL").distinct(), "codes")
-    asked = staged(queries.select("id", sign_code(F.col("vector")).alias("code")).where("code IS NOT NULL AND id IS NOT NULL").distinct(), "query-codes")
+    rows = vectors.select("id", sign_code(F.col("vector")).alias("code")).where("code IS NOT NULL AND id IS NOT NULL").distinct()
+    asked = queries.select("id", sign_code(F.col("vector")).alias("code")).where("code IS NOT NULL AND id IS NOT NULL").distinct()
+    asked = staged(asked, "query-codes")
     # only the k + 1 smallest identifiers of a code can ever be among the nearest
-    from pyspark.sql import Window
-
     salted = Window.partitionBy("code", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     few = rows.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= keep).drop("n")
     few = few.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= keep)
-    few = staged(few.select("code", "id", "n"), "code-members")
+    few = staged(few.select("code", "id"), "code-members")
     codes = staged(few.groupBy("code").agg(F.min("id").alias("first"), F.count("*").cast("int").alias("count")), "distinct-codes")
     distinct = codes.count()
-    chunks = max(1, distinct // ((1 << WIDTH) * CHUNK))
-    chunk = F.pmod(F.xxhash64("code"), F.lit(chunks)).alias("c")
+    widths = _widths(distinct)
+    # a value that more codes than a block hold is dealt over several blocks
+    held = _by_segment(codes, widths)
+    large = held.groupBy("s", "v").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
+    large = staged(large.select("s", "v", F.ceil(F.col("m") / BLOCK).alias("blocks")), "large-values")
+    blocks = F.coalesce("blocks", F.lit(1))
     index = staged(
-        _by_segment(codes)
-        .groupBy("s", "v", chunk)
-        .agg(F.collect_list(F.struct("code", "first", "count")).alias("m"))
-        .select("s", "v", F.col("m.code").alias("codes"), F.col("m.first").alias("firsts"), F.col("m.count").alias("counts")),
+        held.join(large, ["s", "v"], "left")
+        .groupBy("s", "v", F.pmod(F.xxhash64("code"), blocks).alias("c"))
+        .agg(F.collect_list(F.struct("code", "first", "count")).alias("codes")),
         "segment-index",
     )
-    open_queries = staged(asked.select("code").distinct().withColumnRenamed("code", "query"), "open-queries")
-    n_queries = open_queries.count()
-    query_chunks = max(1, n_queries // ((1 << WIDTH) * CHUNK))
     schema = "query bigint, code bigint, first bigint, count int, distance int"
-    state, done = spark.createDataFrame([], schema), spark.createDataFrame([], schema)
-    for radius in range(WIDTH + 1):
+    # a row without code stands for each query, so that it stays though nothing is met
+    alone = [F.lit(None).cast("bigint").alias("code"), F.lit(None).cast("bigint").alias("first"), F.lit(0).alias("count"), F.lit(BITS + 1).alias("distance")]
+    state = asked.select(F.col("code").alias("query")).distinct().select("query", *alone, F.lit(BITS).alias("bound"))
+    query_blocks = max(1, -(-state.count() // BLOCK))
+    done: DataFrame | None = None
+    per_query, order = Window.partitionBy("query"), Window.partitionBy("query").orderBy("distance", "first")
+    for radius in count():
+        covered = len(widths) * (radius + 1) - 1
         probes = (
-            _by_segment(open_queries.withColumnRenamed("query", "code"))
-            .select("s", F.col("code").alias("query"), F.explode(_masks(radius)).alias("mask"), "v")
-            .select("s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), "query")
-            .groupBy("s", "v", F.pmod(F.xxhash64("query"), F.lit(query_chunks)).alias("c"))
-            .agg(F.collect_list("query").alias("queries"))
+            _by_segment(state.where("code IS NULL").select(F.col("query").alias("code"), "bound"), widths)
+            .select("s", F.col("code").alias("query"), "bound", F.explode(_masks(widths[0], radius)).alias("mask"), "v")
+            .select("s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), "query", "bound")
+            .groupBy("s", "v", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).alias("qc"))
+            .agg(F.collect_list(F.struct("query", "bound")).alias("queries"))
+            .join(large, ["s", "v"], "left")
+            .select("s", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("c"), "queries")
         )
-        met = probes.join(index, ["s", "v"]).select("queries", "codes", "firsts", "counts").mapInArrow(_verify(keep), schema)
-        seen = state.unionByName(met).distinct()
-        order = Window.partitionBy("query").orderBy("distance", "first")
-        covered = SEGMENTS * (radius + 1) - 1
-        best = staged(seen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).drop("n"), "nearest-codes")
-        proven = best.groupBy("query").agg(F.sum(F.when(F.col("distance") <= covered, F.col("count")).otherwise(0)).alias("sure"))
-        proven = staged(proven.where(F.lit(radius == WIDTH) | (F.col("sure") >= keep)).select("query"), "proven")
-        done = done.unionByName(best.join(proven, "query"))
-        state = best.join(proven, "query", "left_anti")
-        open_queries = staged(open_queries.join(proven, "query", "left_anti"), "open-queries")
-        if open_queries.isEmpty():
+        met = probes.join(index, ["s", "v", "c"]).select("queries", "codes").mapInArrow(_verify(keep), schema)
+        seen = state.drop("bound").unionByName(met).distinct().withColumn("n", F.row_number().over(order))
+        seen = seen.where((F.col("n") <= keep) | F.col("code").isNull()).drop("n")
+        sure = F.sum(F.when(F.col("distance") <= covered, F.col("count")).otherwise(0)).over(per_query)
+        n_codes = F.count("code").over(per_query)
+        proven = (sure >= keep) | (n_codes >= distinct) | F.lit(covered >= BITS)
+        bound = F.when(n_codes >= keep, F.max(F.when(F.col("code").isNotNull(), F.col("distance"))).over(per_query)).otherwise(BITS)
+        best = staged(seen.select("*", bound.alias("bound"), proven.alias("proven")), "nearest-codes")
+        settled = best.where("proven AND code IS NOT NULL").select("query", "code", "distance")
+        done = settled if done is None else done.unionByName(settled)
+        state = best.where("NOT proven").drop("proven")
+        if state.isEmpty():
             break
     m, d = few.alias("m"), done.alias("d")
     per_code = d.join(m, F.col("d.code") == F.col("m.code")).select("d.query", F.col("m.id").alias("neighbor_id"), "d.distance")

@@ -80,6 +80,8 @@ def _nearest(keep: int, q, code, first, rows, d) -> tuple[np.ndarray, ...]:
     """Of found codes the ``keep`` nearest per query, each once; the smaller identifier wins a tie."""
     order = np.lexsort((code, first, d, q))
     q, code, first, rows, d = (x[order] for x in (q, code, first, rows, d))
+    if not len(q):
+        return q, code, first, rows, d
     new = np.r_[True, (q[1:] != q[:-1]) | (code[1:] != code[:-1])]
     q, code, first, rows, d = (x[new] for x in (q, code, first, rows, d))
     starts = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])

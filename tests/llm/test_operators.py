@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -212,6 +213,33 @@ def test_nearest_codes_by_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_a_value_that_most_codes_hold(spark, monkeypatch):
+    monkeypatch.setattr(topk_hash, "BLOCK", 8)
+    monkeypatch.setattr(topk_hash, "PAIRS", 32)
+    rng = np.random.default_rng(3)
+    vectors = np.where(rng.random((300, 64)) < 0.5, -1.0, 1.0)
+    vectors[:200, :32] = 1.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, vector array<double>")
+    got = sorted(tuple(x) for x in topk_hash.nearest(df, df.where("id % 50 = 0"), 3).collect())
+    want = []
+    for q in range(0, 300, 50):
+        d = (vectors != vectors[q]).sum(1).tolist()
+        near = sorted((d[i], i) for i in range(300) if i != q)[:3]
+        want += [(q, i, far, r + 1) for r, (far, i) in enumerate(near)]
+    assert got == sorted(want)
+
+
+def test_blocks_with_nothing_within_the_bound(spark):
+    batch = pa.RecordBatch.from_pylist(
+        [{"queries": [{"query": 0, "bound": 1}], "codes": [{"code": 7, "first": 1, "count": 1}]}],
+        pa.schema([
+            ("queries", pa.list_(pa.struct([("query", pa.int64()), ("bound", pa.int32())]))),
+            ("codes", pa.list_(pa.struct([("code", pa.int64()), ("first", pa.int64()), ("count", pa.int32())]))),
+        ]),
+    )
+    assert list(topk_hash._verify(3)(iter([batch]))) == []
+
+
 def test_layouts_meet_in_the_same_turns(spark):
     df = spark.createDataFrame(
         [

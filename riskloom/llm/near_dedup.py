@@ -11,8 +11,9 @@
    the full shingle sets of their texts.
 4. Not all pairs of a group are confirmed. In each pass a class brings its most promising
    partner per pair of blocks; confirmed links are contracted to components, and what lies in
-   one component is not looked at again. When a pass joins nothing more, or after
-   ``PASSES``, all pairs that are left between different components are confirmed.
+   one component is not looked at again. The first passes look at one of ``PARTS`` of the
+   buckets each, the last of ``PASSES`` at all of them; then all pairs of any bucket that
+   are left between different components are confirmed, so no link depends on the parts.
 5. Components come from alternating large-star and small-star steps on the edges.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and
@@ -37,6 +38,7 @@ BANDS, ROWS = 28, 4
 SLACK = 0.17  # signature agreement may lie this far below the similarity
 BLOCK = 1024
 PASSES = 3
+PARTS = 8  # of the buckets, the passes before the last of PASSES look at one part each
 
 
 def _signatures(words: int):
@@ -164,9 +166,14 @@ def _promising(similarity: int, best: bool):
     return run
 
 
-def _candidates(members: DataFrame, sketches: DataFrame, similarity: int, best: bool) -> DataFrame:
-    """u, v: pairs of classes of different components that may be alike."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+def _candidates(members: DataFrame, sketches: DataFrame, similarity: int, best: bool, part: int | None = None) -> DataFrame:
+    """u, v: pairs of classes of different components that may be alike.
+
+    ``part``: only buckets whose key falls into that one of ``PARTS``.
+    """
+    if part is not None:
+        members = members.where(F.pmod(F.xxhash64("key"), F.lit(PARTS)) == part)
+    sizes =members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = sizes.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     rows = members.join(mixed, "key").join(sketches, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
@@ -200,7 +207,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     tested = links = None
     best, passes = True, 0
     while True:
-        pairs = _candidates(members, sketches, similarity, best)
+        part = passes if best and passes < PASSES - 1 else None
+        pairs = _candidates(members, sketches, similarity, best, part)
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
         joined = False
         if not pairs.isEmpty():
@@ -215,7 +223,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
         if not best:
             break
         passes += 1
-        best = joined and passes < PASSES
+        best = (joined or part is not None) and passes < PASSES
     found = members.select("id", "component").distinct().alias("f")
     c = classes.alias("c")
     labelled = staged(

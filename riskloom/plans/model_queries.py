@@ -29,17 +29,10 @@ from riskloom.sources import readers, sinks, testbook
 from riskloom.streaming import monitoring as SM
 from riskloom.streaming import scoring as SS
 
-# Small models, so that the checks are quick; the operators' defaults are larger.
-QUICK_PD = {"trees": 10, "depth": 4, "step": 0.1}
-QUICK_LOSS = {"trees": 10, "depth": 3, "step": 0.1}
-
 
 @cache
 def _trained(spark: SparkSession, application: str, sf_dir: str):
-    return T.run_training(
-        spark, loans(spark, sf_dir), folder=_folder(spark, application, sf_dir),
-        pd=QUICK_PD, lgd=QUICK_LOSS, ead=QUICK_LOSS,
-    )
+    return T.run_training(spark, loans(spark, sf_dir), folder=_folder(spark, application, sf_dir))
 
 
 @cache
@@ -80,7 +73,7 @@ def refit_comparison(s, d) -> DataFrame:
     final = V.temporal_split(loans(s, d).filter(F.col("loan_status").isin(*K.FINAL_STATUSES)))
     rows = T.training_rows(final, K.PD_FEATURES, "is_default", F.col("fold"))
     older = rows.filter("fold = 'train'").withColumn("fold", T.fold_of(shares=(("train", 80), ("calibration", 20))))
-    boosted = T.train_boosted_pd(older, **QUICK_PD)
+    boosted = T.train_boosted_pd(older)
     plain = T.train_scorecard(rows, c=1.0, max_iter=1000, balanced=False)
     newer = rows.filter("fold = 'test'")
     keep = ("loan_id", "label", *K.PD_FEATURES)
@@ -92,7 +85,7 @@ def refit_comparison(s, d) -> DataFrame:
 def importance(s, d) -> DataFrame:
     folder = work_folder(s, "booster")
     rows = T.training_rows(loans(s, d).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES)), K.PD_FEATURES, "is_default")
-    T.train_boosted_pd(rows, **QUICK_PD).save(folder)
+    T.train_boosted_pd(rows).save(folder)
     return T.feature_importance(folder, K.PD_FEATURES, s)
 
 

@@ -71,3 +71,22 @@ def test_same_seed_same_model(spark):
     first = T.with_probability(a, rows, "a").select("loan_id", "a")
     second = T.with_probability(b, rows, "b").select("loan_id", "b")
     assert first.join(second, "loan_id").filter("abs(a - b) > 1e-9").count() == 0
+
+
+def test_queries_fit_as_many_trees_as_the_reference(spark, monkeypatch):
+    fitted = []
+
+    def spy(kind):
+        def make(**options):
+            fitted.append((kind.__name__, options["maxIter"], options["maxDepth"], options["stepSize"]))
+            return kind(**{**options, "maxIter": 1, "maxDepth": 1})
+
+        return make
+
+    monkeypatch.setattr(T, "GBTClassifier", spy(T.GBTClassifier))
+    monkeypatch.setattr(T, "GBTRegressor", spy(T.GBTRegressor))
+    Q._trained.__wrapped__(spark, "spied", MEDIUM)
+    Q.importance(spark, MEDIUM)
+    Q.refit_comparison(spark, MEDIUM)
+    pd, lgd, ead = ("GBTClassifier", 800, 6, 0.03), ("GBTRegressor", 200, 4, 0.05), ("GBTRegressor", 150, 3, 0.08)
+    assert fitted == [pd, lgd, ead, pd, pd]

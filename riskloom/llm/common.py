@@ -39,6 +39,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+ROW_KEY = ["__llm_sha", "__llm_row"]
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Adds ``ROW_KEY``: digests of the text and of all columns. Rows that share it are interchangeable."""
+    plain = [F.to_json(F.struct(f"`{c}`")) if "map<" in t or t == "variant" else F.col(f"`{c}`") for c, t in docs.dtypes]
+    # a hash skips nulls, so which values are null is hashed as well
+    row = F.xxhash64(*plain, *[F.col(f"`{c}`").isNull() for c in docs.columns])
+    return docs.withColumns({ROW_KEY[0]: F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), ROW_KEY[1]: row})
+
+
 def ranked(df: DataFrame, order: Iterable[Column], name: str) -> DataFrame:
     """Adds ``_rank``, the row's place from 0 in the whole order, without one task seeing all rows.
 
@@ -73,3 +84,19 @@ def ranked(df: DataFrame, order: Iterable[Column], name: str) -> DataFrame:
         .withColumn("_rank", F.col("_start") + local)
         .drop("_at", "_part", "_start")
     )
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """k (order of documents), doc_id, text; and whether k is doc_id, which then names the rows.
+
+    Otherwise k is a place in the order of doc_id and the text's SHA-256, the same for equal rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("doc_id IS NULL OR c > 1")
+    if names.isEmpty():
+        return rows.select(F.col("doc_id").alias("k"), "doc_id", "text"), True
+    named = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    places = ranked(named.select("doc_id", "sha").distinct(), [F.col("doc_id").asc_nulls_first(), F.col("sha")], "document-order")
+    a, b = named.alias("a"), staged(places, "document-places").alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.sha") == F.col("b.sha"))
+    return staged(a.join(b, same).select(F.col("b._rank").alias("k"), "a.doc_id", "a.text"), "keyed-documents"), False

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import ascii_lower, staged
+from riskloom.llm.common import ROW_KEY, ascii_lower, staged, with_row_key
 
 KEY = ["digest", "length", "check"]
 FAN_IN = 8
@@ -69,15 +69,19 @@ def exact_duplicates(docs: DataFrame, keep: str = "largest", fan_in: int = FAN_I
 
 
 def drop_copies(docs: DataFrame, keep: str = "largest", fan_in: int = FAN_IN) -> DataFrame:
-    """The documents with one row left of each group of equal texts, all columns as they were."""
-    found = staged(exact_duplicates(docs, keep, fan_in), "duplicates")
-    stays = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n"))
-    d, k = docs.alias("d"), stays.alias("k")
-    left = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")), "left_semi")
-    if stays.where("n > 1").isEmpty():
-        return left
-    # Rows that share their doc_id: one row per doc_id and text stays.
-    text = ascii_lower(F.coalesce("text", F.lit("")))
-    return left.withColumn("__llm_text", F.sha2(text, 256)).dropDuplicates(["doc_id", "__llm_text"]).drop("__llm_text")
-
-
+    """The documents with one row left of each group of equal texts, all columns as they were.
+
+    The row itself is chosen, not its doc_id, which other rows may share: by doc_id, then by
+    the digests of its text and its columns.
+    """
+    marked = with_row_key(docs)
+    known = F.col("doc_id").isNotNull() if keep == "largest" else F.col("doc_id").isNull()
+    rows = digests(marked.withColumn("doc_id", F.struct(known.alias("known"), "doc_id", *ROW_KEY)))
+    rows = staged(rows, "digests")
+    picks = merge_runs(rows, keep, fan_in).select(*[F.col(f"keep_id.{k}").alias(k) for k in ROW_KEY], "group_size")
+    picks = staged(picks, "kept-rows")
+    left = marked.join(picks.select(*ROW_KEY), ROW_KEY, "left_semi")
+    several = rows.select("doc_id.*").join(picks.where("group_size > 1"), ROW_KEY, "left_semi")
+    if not several.groupBy(*ROW_KEY).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        left = left.dropDuplicates(ROW_KEY)  # rows alike in every column
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import WORD, ranked, staged
+from riskloom.llm.common import ROW_KEY, WORD, ranked, staged, with_row_key
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -29,9 +29,9 @@ LIMIT = 2
 SEED = 17
 
 
-def sizes(docs: DataFrame) -> DataFrame:
+def sizes(docs: DataFrame, key=()) -> DataFrame:
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD))
-    return docs.select("doc_id", "source", words.cast("bigint").alias("size"))
+    return docs.select("doc_id", "source", words.cast("bigint").alias("size"), *key)
 
 
 def source_targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT) -> DataFrame:
@@ -69,11 +69,14 @@ def offset(source, seed: int = SEED):
     return F.conv(F.substring(F.md5(name), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken."""
-    rows = staged(sizes(docs), "sizes")
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIMIT, seed: int = SEED, key=()) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken, and the columns of ``key``.
+
+    ``key`` orders the rows that share their size and doc_id.
+    """
+    rows = staged(sizes(docs, key), "sizes")
     targets = staged(source_targets(rows, weights, share, limit), "targets")
-    order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id")]
+    order = [F.col("source").isNull(), F.col("source"), F.col("size"), F.col("doc_id"), *map(F.col, key)]
     placed = ranked(rows, order, "mix-order")
     # a source's first place is the number of rows before it: no join on the rows needed for it
     starts = placed.groupBy("source").agg(F.min("_rank").alias("first"))
@@ -86,26 +89,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, limit: int = LIM
     u = offset(F.col("p.source"), seed)
     copies = F.floor((place + 1) * rate + u) - F.floor(place * rate + u)
     return joined.select(
-        "p.doc_id", "p.size", "s.source_size", "s.target", copies.alias("copies"), (copies * F.col("p.size")).alias("taken")
+        "p.doc_id", "p.size", "s.source_size", "s.target", copies.alias("copies"), (copies * F.col("p.size")).alias("taken"),
+        *[F.col(f"p.{k}") for k in key],
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; columns as they were.
 
-    Rows that share their doc_id hold their copies together: they are numbered in an
-    arbitrary but fixed order of their sizes, as equal rows are interchangeable.
+    Copies belong to rows, whatever their doc_id: only rows alike in every column, which are
+    interchangeable, hold theirs together and are written out from one of them.
     """
-    copies = mix(docs, **options).where("copies > 0")
-    total = copies.groupBy("doc_id").agg(F.collect_list(F.struct("size", "copies")).alias("each"))
-    single = staged(total, "mix-copies")
-    d, k = docs.alias("d"), single.alias("k")
-    size = F.regexp_count(F.coalesce("d.text", F.lit("")), F.lit(WORD)).cast("bigint")
-    same = F.filter("k.each", lambda x: x["size"] == size)
-    # equal ids and sizes share their copies evenly; one id normally means one entry
-    times = F.when(F.size("k.each") == 1, F.col("k.each")[0]["copies"]).otherwise(
-        F.when(F.size(same) > 0, same[0]["copies"]).otherwise(0)
-    )
-    joined = d.join(k, F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")))
-    rows = joined.select("d.*", F.explode(F.sequence(F.lit(1), F.greatest(times, F.lit(1)).cast("int"))).alias("__llm_copy"), times.alias("__llm_times"))
-    return rows.where("__llm_times > 0").drop("__llm_copy", "__llm_times")
+    marked = with_row_key(docs)
+    total = mix(marked, **options, key=ROW_KEY).groupBy(*ROW_KEY).agg(F.sum("copies").alias("__llm_times"), F.count("*").alias("__llm_alike"))
+    taken = staged(total.where("__llm_times > 0"), "mix-copies")
+    rows = marked.join(taken.where("__llm_alike = 1"), ROW_KEY)
+    alike = taken.where("__llm_alike > 1")
+    if not alike.isEmpty():
+        rows = rows.unionByName(marked.join(alike, ROW_KEY).dropDuplicates(ROW_KEY))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__llm_times"))).alias("__llm_copy")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return rows.select(*columns, copies).drop("__llm_copy")

@@ -18,8 +18,9 @@
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and
 is kept; a text with fewer words than a shingle is one shingle of all of them; a null doc_id
-takes no part, has a null component and is kept; rows that share a doc_id are one node;
-repeated rows are returned as often as they come; an empty table gives an empty result.
+takes no part, has a null component and is kept; rows that share a doc_id but not the text
+are documents of their own, in the order of the text's SHA-256; rows that share both are one,
+returned by ``near_duplicates`` as often as they come; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import arrow_rows, staged
+from riskloom.llm.common import ROW_KEY, arrow_rows, keyed, staged, with_row_key
 from riskloom.llm.shingles import minima, mix, shingle_sets, slices
 
 BANDS, ROWS = 28, 4
@@ -55,6 +56,7 @@ def _signatures(words: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(at, len(sets)),
+                        batch.column(2).slice(at, len(sets)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
                         pa.array([int(mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()),
@@ -62,7 +64,7 @@ def _signatures(words: int):
                         pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary()),
                         pa.array([x.tobytes() for x in keys.astype(np.uint32)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "sum1", "sum2", "keys", "sketch", "bands"],
+                    names=["id", "doc_id", "n_shingles", "sum1", "sum2", "keys", "sketch", "bands"],
                 )
 
     return run
@@ -183,27 +185,29 @@ def _candidates(members: DataFrame, sketches: DataFrame, similarity: int, best:
     return met.mapInArrow(_promising(similarity, best), "u bigint, v bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def _components(docs: DataFrame, words: int, similarity: int) -> tuple[DataFrame, DataFrame | None]:
+    """id, doc_id, n_shingles, component_id, kept; and the documents (id, text, doc_id) unless id is doc_id."""
     spark = docs.sparkSession
     arrow_rows(spark)
+    numbered, unique = keyed(docs)
+    numbered = numbered.select(F.when(F.col("doc_id").isNotNull(), F.col("k")).alias("id"), "text", "doc_id")
     sig = staged(
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-            _signatures(words), "doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, keys array<bigint>, sketch binary, bands binary"
+        numbered.mapInArrow(
+            _signatures(words), "id bigint, doc_id bigint, n_shingles bigint, sum1 bigint, sum2 bigint, keys array<bigint>, sketch binary, bands binary"
         ),
         "signatures",
     )
     known = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     same = ["n_shingles", "sum1", "sum2"]
-    classes = staged(known.groupBy(*same).agg(F.min(F.struct("doc_id", "keys", "sketch", "bands")).alias("r")).select(*same, "r.doc_id", "r.keys", "r.sketch", "r.bands"), "set-classes")
-    rows = classes.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    classes = staged(known.groupBy(*same).agg(F.min(F.struct("id", "doc_id", "keys", "sketch", "bands")).alias("r")).select(*same, "r.id", "r.doc_id", "r.keys", "r.sketch", "r.bands"), "set-classes")
+    rows = classes.select(F.explode("keys").alias("key"), "id", F.col("n_shingles").alias("n"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = staged(rows.join(shared, "key").withColumn("component", F.col("id")), "members")
     wanted = members.select("id").distinct().alias("w")
-    d = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string").alias("text")).alias("d")
+    d = numbered.select("id", "text").alias("d")
     texts = d.join(wanted, F.col("d.id") == F.col("w.id"), "left_semi")
     texts = staged(texts.dropDuplicates(["id"]), "candidate-texts")
-    sketches = classes.select(F.col("doc_id").alias("id"), "sketch", "bands")
+    sketches = classes.select("id", "sketch", "bands")
     tested = links = None
     best, passes = True, 0
     while True:
@@ -227,22 +231,47 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> Da
     found = members.select("id", "component").distinct().alias("f")
     c = classes.alias("c")
     labelled = staged(
-        c.join(found, F.col("c.doc_id") == F.col("f.id"), "left").select(
-            *[f"c.{k}" for k in same], F.coalesce("f.component", "c.doc_id").alias("component_id")
+        c.join(found, F.col("c.id") == F.col("f.id"), "left").select(
+            *[f"c.{k}" for k in same], F.coalesce("f.component", "c.id").alias("component")
         ),
         "set-components",
     )
+    if unique:
+        labelled = labelled.withColumn("component_id", F.col("component"))
+    else:
+        labelled = labelled.join(classes.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id")), "component")
     s, lab = sig.alias("s"), labelled.alias("l")
-    grouped = F.col("s.doc_id").isNotNull()
+    linked = F.col("s.doc_id").isNotNull() & (F.col("s.n_shingles") > 0)
     out = s.join(lab, [F.col(f"s.{k}") == F.col(f"l.{k}") for k in same], "left").select(
-        "s.doc_id", "s.n_shingles",
-        F.when(grouped & (F.col("s.n_shingles") > 0), F.col("l.component_id")).otherwise(F.col("s.doc_id")).alias("component_id"),
+        "s.id", "s.doc_id", "s.n_shingles",
+        F.when(linked, F.col("l.component_id")).otherwise(F.col("s.doc_id")).alias("component_id"),
+        (~linked | F.col("s.id").eqNullSafe(F.col("l.component"))).alias("kept"),
     )
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out, None if unique else numbered
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return _components(docs, words, similarity)[0].drop("id")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: int = 80) -> DataFrame:
     """The documents with one left of each component, all columns as they were."""
-    stays = near_duplicates(docs, words, similarity).where("kept").select("doc_id").distinct()
-    d, k = docs.alias("d"), staged(stays, "kept-ids").alias("k")
-    return d.join(k, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    found, numbered = _components(docs, words, similarity)
+    found = staged(found, "near-duplicates")
+    if numbered is None:
+        d, k = docs.alias("d"), found.where("kept").select("doc_id").alias("k")
+        return d.join(k, F.col("d.doc_id").cast("bigint").eqNullSafe(F.col("k.doc_id")), "left_semi")
+    # Rows that share their doc_id: what goes, and what has copies, is told by doc_id and text.
+    numbers = found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("id").agg(F.max("kept").alias("kept"))
+    marked = with_row_key(docs)
+    named = numbered.where("doc_id IS NOT NULL").select("id", "doc_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("sha"))
+    stays = staged(named.distinct().join(numbers, "id").select("doc_id", "sha", "kept"), "linked-documents")
+    m, n = marked.alias("m"), stays.alias("n")
+    own = (F.col("m.doc_id").cast("bigint") == F.col("n.doc_id")) & (F.col("m.__llm_sha") == F.col("n.sha"))
+    alone = m.join(n, own, "left_anti")
+    one = m.join(n.where("kept"), own, "left_semi")
+    # of rows that share doc_id and text, the one with the least hash of its columns
+    least = one.groupBy("doc_id", "__llm_sha").agg(F.min("__llm_row").alias("__llm_row")).select(*ROW_KEY)
+    one = one.join(least, ROW_KEY, "left_semi").dropDuplicates(ROW_KEY)
+    return alone.unionByName(one).select(*[F.col(f"`{c}`") for c in docs.columns])

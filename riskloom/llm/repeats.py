@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.anchors import runs
 from riskloom.llm.bwt import repeated
-from riskloom.llm.common import arrow_rows, ranked, staged
+from riskloom.llm.common import arrow_rows, keyed, staged
 from riskloom.llm.shingles import slices
 
 LENGTH = 100
@@ -156,21 +156,6 @@ _OUT = pa.schema(
 )
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """k (order of documents), doc_id, text; and k, text once per k. k is doc_id where that names the rows."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    names = rows.groupBy("doc_id").agg(F.count("*").alias("c")).where("doc_id IS NULL OR c > 1")
-    if names.isEmpty():
-        keyed = rows.select(F.col("doc_id").alias("k"), "doc_id", "text")
-        return keyed, keyed.select("k", "text")
-    named = rows.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
-    places = ranked(named.select("doc_id", "sha").distinct(), [F.col("doc_id").asc_nulls_first(), F.col("sha")], "document-order")
-    a, b = named.alias("a"), staged(places, "document-places").alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.sha") == F.col("b.sha"))
-    keyed = staged(a.join(b, same).select(F.col("b._rank").alias("k"), "a.doc_id", "a.text"), "keyed-documents")
-    return keyed, staged(keyed.select("k", "text").dropDuplicates(["k"]), "keyed-texts")
-
-
 def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """k, x, n: runs of starts whose ``length`` bytes also start earlier, for texts (k, text)."""
     counts = texts.mapInArrow(_count(length), "anchor bigint, c bigint")
@@ -199,10 +184,13 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (bytes, null unless asked for)."""
     arrow_rows(docs.sparkSession)
-    keyed, texts = _keyed(docs)
+    rows, unique = keyed(docs)
+    texts = rows.select("k", "text")
+    if not unique:
+        texts = staged(texts.dropDuplicates(["k"]), "keyed-texts")
     starts = repeated_starts(texts, length)
     lists = starts.groupBy("k").agg(F.collect_list(F.struct("x", "n")).alias("runs"))
-    d, s = keyed.alias("d"), lists.alias("s")
+    d, s = rows.alias("d"), lists.alias("s")
     joined = d.join(s, F.col("d.k") == F.col("s.k"), "left").select("d.doc_id", "d.text", "s.runs")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:int,stop:int>>, kept binary"
     return joined.mapInArrow(_apply(length, text), schema)

@@ -2,8 +2,11 @@
 
 Which layout a record has is read off the record: the nested paths of its fields that hold a
 value are sorted and hashed, and the hash selects a declarative mapping. A mapping names its
-required and optional paths and says how they become turns. Records whose fingerprint no
-mapping knows keep null turns (``canonical_turns``), so nothing is guessed and nothing lost.
+required and optional paths and says how they become turns. A table has a layout if it has the
+required paths. A record that holds a value at some of a layout's paths only, and at none of
+another's, has that layout, its other texts being null. Records whose fingerprint no mapping
+knows, or several do, keep null turns (``canonical_turns``), so nothing is guessed; they are
+returned as they are by ``unmatched`` and beside the formatted chats by ``format_table``.
 
 The template writes each turn as ``<|role|>``, a line break, the text, ``<|end|>`` and a line
 break. Inside role and text the characters ``~ < [ |`` are written ``~0 ~1 ~2 ~3``; no
@@ -48,6 +51,13 @@ class Layout:
             for some in combinations(self.optional, n)
         ]
 
+    def partial_fingerprints(self) -> list[str]:
+        """The path sets of records of which some required text is null."""
+        paths = (*self.required, *self.optional)
+        every = [_canonical(some) for n in range(1, len(paths) + 1) for some in combinations(paths, n)]
+        whole = set(self.fingerprints())
+        return [p for p in every if p not in whole]
+
 
 def _canonical(paths) -> str:
     return "\n".join(sorted(paths))
@@ -107,17 +117,60 @@ def fingerprint(df: DataFrame, layouts=LAYOUTS) -> Column:
     return F.xxhash64(F.concat_ws("\n", *[F.when(there, F.lit(p)) for p, there in sorted(found, key=lambda x: x[0])]))
 
 
+def _paths(df: DataFrame) -> set[str]:
+    return {p for f in df.schema for p, _ in _leaves(f.dataType, f.name, F.col(f"`{f.name}`"))}
+
+
+def _with_nothing(field: str) -> Callable[[Column], Column]:
+    return lambda m: m.withField(field, F.lit(None).cast("string"))
+
+
+def _completed(df: DataFrame, layouts) -> DataFrame:
+    """The table with nulls at the optional paths of its layouts that it does not have."""
+    for path in dict.fromkeys(p for x in layouts for p in x.optional if p not in _paths(df)):
+        column, _, field = path.partition("[].")
+        if not field:
+            df = df.withColumn(column, F.lit(None).cast("string"))
+        elif column in df.columns:
+            df = df.withColumn(column, F.transform(column, _with_nothing(field)))
+    return df
+
+
+def _matched(df: DataFrame, layouts) -> tuple[DataFrame, list[tuple[Layout, Column]]]:
+    """The completed table, and its layouts with the test that a record has it."""
+    there = _paths(df)
+    usable = [x for x in layouts if there.issuperset(x.required) and there.intersection((*x.required, *x.optional))]
+    full = _completed(df, usable)
+    code = fingerprint(full, usable) if usable else None
+    whole = {p for x in usable for p in x.fingerprints()}
+    some = [p for x in usable for p in x.partial_fingerprints()]
+    known = [[*x.fingerprints(), *(p for p in x.partial_fingerprints() if p not in whole and some.count(p) == 1)] for x in usable]
+    return full, [(x, code.isin(*[F.xxhash64(F.lit(p)) for p in k])) for x, k in zip(usable, known, strict=True)]
+
+
 def canonical_turns(df: DataFrame, layouts=LAYOUTS, key: str = "conv_id") -> DataFrame:
     """key, layout and turns of each record; both null where no layout fits."""
-    columns = set(df.columns)
-    usable = [x for x in layouts if all(p.split("[")[0].split(".")[0] in columns for p in (*x.required, *x.optional))]
-    code, name, turns = fingerprint(df, layouts), F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
-    for x in usable:
-        hit = code.isin(*[F.xxhash64(F.lit(p)) for p in x.fingerprints()])
+    df, hits = _matched(df, layouts)
+    name, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
+    for x, hit in hits:
         name, turns = F.when(hit, F.lit(x.name)).otherwise(name), F.when(hit, x.turns()).otherwise(turns)
     return df.select(F.col(key), name.alias("layout"), turns.alias("turns"))
 
 
+def unmatched(df: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """The records no layout fits, with all columns they came with."""
+    columns = df.columns
+    df, hits = _matched(df, layouts)
+    for _, hit in hits:
+        df = df.where(~hit)
+    return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def format_table(df: DataFrame, layouts=LAYOUTS, key: str = "conv_id", loss_role: str = "assistant") -> tuple[DataFrame, DataFrame]:
+    """``format_chats`` of a table's records, and the records no layout fits."""
+    return format_chats(canonical_turns(df, layouts, key), key, loss_role), unmatched(df, layouts)
+
+
 def escape(text: Column) -> Column:
     for plain, code in ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(code))
@@ -133,7 +186,8 @@ def unescape(text: Column) -> Column:
 def format_chats(records: DataFrame, key: str = "conv_id", loss_role: str = "assistant") -> DataFrame:
     """key, formatted, loss: canonical turns of all records of a key under the template.
 
-    ``loss`` holds struct(turn, offset, length, start), in order.
+    ``loss`` holds struct(turn, offset, length, start), in order. Records without turns have
+    nothing to format; ``unmatched`` returns them.
     """
     from pyspark.sql import Window
 

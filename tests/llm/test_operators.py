@@ -260,6 +260,22 @@ def test_layouts_meet_in_the_same_turns(spark):
     assert chat.format_chats(chat.canonical_turns(df.limit(0))).collect() == []
 
 
+def test_chats_without_optional_columns_or_texts(spark):
+    df = spark.createDataFrame([(1, "do", "done"), (2, "do", None), (3, None, "done"), (4, None, None)], "conv_id long, instruction string, output string")
+    formatted, rest = chat.format_table(df)
+    out = {x.conv_id: [t.text for t in x.turns] for x in chat.read_back(formatted).collect()}
+    assert out == {1: ["do", "done"], 2: ["do", ""], 3: ["", "done"]}
+    assert rest.columns == df.columns and [tuple(x) for x in rest.collect()] == [(4, None, None)]
+    df = spark.createDataFrame(
+        [(1, "hi", None, [("user",)]), (2, "hi", None, None), (3, None, None, [("user",), (None,)]), (4, None, "yo", None), (5, None, None, [])],
+        "conv_id long, prompt string, response string, messages array<struct<role:string>>",
+    )
+    formatted, rest = chat.format_table(df)
+    out = {x.conv_id: [(t.role, t.text) for t in x.turns] for x in chat.read_back(formatted).collect()}
+    assert out == {2: [("user", "hi"), ("assistant", "")], 3: [("user", ""), ("", "")], 4: [("user", ""), ("assistant", "yo")]}
+    assert sorted(x.conv_id for x in rest.collect()) == [1, 5]
+
+
 def test_mix_meets_targets(spark):
     r = random.Random(8)
     docs = [(i, "w " * r.randrange(0, 60), None, (None, "a", "b", "c")[i % 4 if i % 7 else 1], None, None, None, None, None) for i in range(1200)]

@@ -10,6 +10,9 @@
 3. What differs between the distinct runs of an anchor is settled by their bytes: the runs
    are dealt by anchor into buckets of about ``BUCKET`` bytes, cut into shards whose
    transforms are merged (``bwt``); repeated intervals give the starts that come later.
+   An anchor whose runs exceed a bucket has them cut into single starts, dealt by anchor and
+   the first and last 32 bytes of their strings. Where even these exceed a bucket, strings
+   are grouped by their bytes, aggregated before they move; no task holds a group.
 4. A document loses every byte that a repeated string covers.
 
 Defined cases: a null text is an empty one; repeated rows (same doc_id and text) are one
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.anchors import runs
+from riskloom.llm.anchors import GRAM, runs
 from riskloom.llm.bwt import repeated
 from riskloom.llm.common import arrow_rows, keyed, staged
 from riskloom.llm.shingles import slices
@@ -73,8 +76,8 @@ def _count(length: int):
     return run
 
 
-def _cut(length: int):
-    """The bytes of the wanted runs of each text."""
+def _cut(length: int, single: bool = False):
+    """The bytes of the wanted runs of each text; ``single``: of each of their starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,14 +87,16 @@ def _cut(length: int):
                 raw = (batch.column(1)[i].as_py() or "").encode()
                 k = batch.column(0)[i].as_py()
                 for r in batch.column(2)[i].as_py():
-                    out["anchor"].append(r["anchor"])
-                    out["k"].append(k)
-                    out["x"].append(r["x"])
-                    out["bytes"].append(raw[r["x"] : r["x"] + r["n"] + length - 1])
-                    size += r["n"] + length
-                if size > BUCKET:
-                    yield pa.RecordBatch.from_pydict(out, _CUT)
-                    out, size = {c: [] for c in out}, 0
+                    n = 1 if single else r["n"]
+                    for x in range(r["x"], r["x"] + r["n"], n):
+                        out["anchor"].append(r["anchor"])
+                        out["k"].append(k)
+                        out["x"].append(x)
+                        out["bytes"].append(raw[x : x + n + length - 1])
+                        size += n + length
+                        if size > BUCKET:
+                            yield pa.RecordBatch.from_pydict(out, _CUT)
+                            out, size = {c: [] for c in out}, 0
             yield pa.RecordBatch.from_pydict(out, _CUT)
 
     return run
@@ -156,8 +161,9 @@ _OUT = pa.schema(
 )
 
 
-def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_starts(texts: DataFrame, length: int = LENGTH, bucket: int | None = None) -> DataFrame:
     """k, x, n: runs of starts whose ``length`` bytes also start earlier, for texts (k, text)."""
+    bucket = bucket or BUCKET
     counts = texts.mapInArrow(_count(length), "anchor bigint, c bigint")
     several = staged(counts.groupBy("anchor").agg(F.sum("c").alias("c")).where("c > 1").select("anchor"), "repeated-anchors")
     filed = texts.mapInArrow(_file(length), "anchor bigint, digest bigint, k bigint, x int, n int, loops boolean, again boolean")
@@ -170,15 +176,54 @@ def repeated_starts(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     met = staged(met.select("o.anchor", "o.k", "o.x", "o.n", (F.col("o.k") == F.col("w.k0")).alias("first")), "met-runs")
     copies = some.where("again").select("k", "x", "n").unionByName(met.where("NOT first").select("k", "x", "n"))
     wanted = staged(met.where("first").join(open_anchors, "anchor", "left_semi").select("anchor", "k", "x", "n"), "open-runs")
-    total = wanted.agg(F.coalesce(F.sum(F.col("n") + length), F.lit(0))).first()[0]
-    buckets = max(1, -(-total // BUCKET))
+    by_anchor = staged(wanted.groupBy("anchor").agg(F.sum(F.col("n") + length).alias("size")), "open-anchors")
+    total = by_anchor.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    heavy = by_anchor.where(F.col("size") > bucket).select("anchor")
+    if heavy.isEmpty():
+        return staged(copies.unionByName(_dealt(_held(texts, wanted), length, bucket, total)).distinct(), "repeated-starts")
+    light = _dealt(_held(texts, wanted.join(heavy, "anchor", "left_anti")), length, bucket, total)
+    single = _heavy(_held(texts, wanted.join(heavy, "anchor", "left_semi")), length, bucket)
+    return staged(copies.unionByName(light).unionByName(single).distinct(), "repeated-starts")
+
+
+def _held(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """k, text, runs: the texts with their wanted runs."""
     lists = wanted.groupBy("k").agg(F.collect_list(F.struct("anchor", "x", "n")).alias("runs"))
     t, r = texts.alias("t"), lists.alias("r")
-    held = t.join(r, F.col("t.k") == F.col("r.k")).select("t.k", "t.text", "r.runs")
-    cut = held.mapInArrow(_cut(length), "anchor bigint, k bigint, x int, bytes binary")
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
+    return t.join(r, F.col("t.k") == F.col("r.k")).select("t.k", "t.text", "r.runs")
+
+
+def _settled(rows: DataFrame, key, length: int, bucket: int, total: int) -> DataFrame:
+    buckets = max(1, -(-total // bucket))
+    dealt = rows.withColumn("bucket", F.pmod(key, F.lit(buckets)))
     settled = dealt.groupBy("bucket").applyInArrow(_settle(length), "k bigint, x int, n int")
-    return staged(copies.unionByName(staged(settled, "settled-runs")).distinct(), "repeated-starts")
+    return staged(settled, "settled-runs")
+
+
+def _dealt(held: DataFrame, length: int, bucket: int, total: int) -> DataFrame:
+    """k, x, n: what repeats, of runs dealt by their anchor."""
+    cut = held.mapInArrow(_cut(length), "anchor bigint, k bigint, x int, bytes binary")
+    return _settled(cut, F.xxhash64("anchor"), length, bucket, total)
+
+
+def _heavy(held: DataFrame, length: int, bucket: int) -> DataFrame:
+    """k, x, n: what repeats, of the runs of anchors that exceed a bucket, by single starts."""
+    cut = held.mapInArrow(_cut(length, single=True), "anchor bigint, k bigint, x int, bytes binary")
+    ends = F.xxhash64("anchor", F.substring("bytes", 1, GRAM), F.substring("bytes", length - GRAM + 1, GRAM))
+    starts = staged(cut.withColumn("ends", ends), "single-starts")
+    sizes = staged(starts.groupBy("ends").agg((F.count("*") * (length + 1)).alias("size")), "ends")
+    large = sizes.where(F.col("size") > bucket).select("ends")
+    total = sizes.where(F.col("size") <= bucket).agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    small = starts.join(large, "ends", "left_anti").select("ends", "anchor", "k", "x", "bytes")
+    found = _settled(small, F.xxhash64("ends"), length, bucket, total)
+    if large.isEmpty():
+        return found
+    rest = starts.join(large, "ends", "left_semi").select("anchor", "k", "x", "bytes")
+    first = rest.groupBy("anchor", "bytes").agg(F.min(F.struct("k", "x")).alias("f"), F.count("*").alias("c")).where("c > 1")
+    r, f = rest.alias("r"), staged(first, "first-starts").alias("f")
+    same = (F.col("r.anchor") == F.col("f.anchor")) & (F.col("r.bytes") == F.col("f.bytes"))
+    later = r.join(f, same).where((F.col("r.k") != F.col("f.f.k")) | (F.col("r.x") != F.col("f.f.x")))
+    return found.unionByName(staged(later.select("r.k", "r.x", F.lit(1).alias("n")), "later-starts"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = True) -> DataFrame:

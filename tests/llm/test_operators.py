@@ -140,6 +140,25 @@ def test_repeats_by_brute_force(spark):
     assert got == brute_repeats(texts, 100)
 
 
+def test_a_phrase_between_many_surroundings(spark, monkeypatch):
+    r = random.Random(9)
+    around = ["".join(r.choice("abcdefgh ") for _ in range(60)) for _ in range(12)]
+    phrase = "".join(r.choice("klmnop ") for _ in range(90))
+    texts = ["".join(r.choice("xyz ") for _ in range(40)) + r.choice(around) + phrase + r.choice(around) + str(i) for i in range(300)]
+    sizes = []
+    monkeypatch.setattr(repeats, "BUCKET", 4000)
+    settled = repeats._settled
+
+    def spy(rows, key, length, bucket, total):
+        sizes.extend(x.s for x in rows.groupBy("anchor", key.alias("h")).agg(repeats.F.sum(repeats.F.length("bytes")).alias("s")).collect())
+        return settled(rows, key, length, bucket, total)
+
+    monkeypatch.setattr(repeats, "_settled", spy)
+    got = [tuple(x[1:5]) for x in sorted(repeats.remove_repeats(spark.createDataFrame(rows(*texts), DOCS)).collect())]
+    assert got == brute_repeats(texts, 100)
+    assert sizes and max(sizes) <= 4000  # what cannot be dealt apart fits a bucket
+
+
 def test_merged_transforms_find_what_one_does():
     r = random.Random(2)
     strings = [bytes(r.choice(b"ab") for _ in range(r.randrange(5, 60))) for _ in range(50)]

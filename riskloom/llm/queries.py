@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, chat, exact_dedup, langid, mixing, near_dedup, repeats, sharding, topk_hash, toxicity
+from riskloom.llm import (
+    bpe,
+    chat,
+    exact_dedup,
+    hard_negatives,
+    importance,
+    langid,
+    mixing,
+    near_dedup,
+    repeats,
+    sharding,
+    token_files,
+    topk_hash,
+    toxicity,
+)
 from riskloom.llm.common import table
-from riskloom.llm.sql import CHAT_SQL, EXACT_DEDUP_SQL, MIXING_SQL, NEAR_DEDUP_SQL, TOPK_SQL
+from riskloom.llm.sql import CHAT_SQL, EXACT_DEDUP_SQL, HARD_NEGATIVES_SQL, IMPORTANCE_SQL, MIXING_SQL, NEAR_DEDUP_SQL, TOPK_SQL
 
 SHARDS = 8
 NEIGHBOURS = 10
@@ -81,6 +95,23 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 100; every seventh label is one off."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.col("embedding").alias("vector"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_language_id": (langid_query, None),
     "op2_near_dedup": (near_dedup_query, NEAR_DEDUP_SQL),
@@ -92,4 +123,7 @@ QUERIES = {
     "op8_exact_dedup": (exact_dedup_query, EXACT_DEDUP_SQL),
     "op9_topk_search": (topk_query, TOPK_SQL),
     "op10_mixing": (mixing_query, MIXING_SQL),
+    "op11_hard_negatives": (hard_negatives_query, HARD_NEGATIVES_SQL),
+    "op12_importance": (importance_query, IMPORTANCE_SQL),
+    "op13_token_files": (token_files_query, None),
 }

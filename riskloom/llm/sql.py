@@ -78,3 +78,62 @@ p AS (
 SELECT s.doc_id, len(s.set)::BIGINT AS n_shingles, min(r.root) AS component_id, s.doc_id = min(r.root) AS kept
 FROM s JOIN r ON r.node = s.doc_id GROUP BY s.doc_id, s.set
 """
+
+HARD_NEGATIVES_SQL = """
+WITH c AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same,
+         list_sum(list_transform(list_zip(a.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM c AS a JOIN c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+), pos AS (
+  SELECT anchor_id, id, score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+)
+SELECT pos.anchor_id, pos.id AS positive_id,
+       row_number() OVER (PARTITION BY pos.anchor_id, pos.id ORDER BY p.score DESC, p.id)::INT AS rank,
+       p.id AS negative_id, pos.score AS positive_score, p.score AS negative_score
+FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT p.same AND 80 * pos.score <= 100 * p.score AND p.score <= pos.score
+QUALIFY rank <= 5
+"""
+
+IMPORTANCE_SQL = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END, b::BIGINT)) AS t
+), texts AS (
+  SELECT true AS is_doc, doc_id, row_number() OVER () AS n, text FROM documents
+  UNION ALL SELECT false, NULL, row_number() OVER (), text FROM benchmark
+), w AS (
+  SELECT is_doc, doc_id, n, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts
+), g AS (
+  SELECT is_doc, n, unnest(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS gram
+  FROM w
+), grams AS (
+  SELECT is_doc, n, gram, count(*) AS c FROM g GROUP BY ALL
+), hashed AS (
+  SELECT gram, xor(4294967295::BIGINT, list_reduce(
+           list_transform(range(octet_length(encode(gram))), lambda i: ('0x' || substr(hex(encode(gram)), 2 * i + 1, 2))::BIGINT),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295::BIGINT)) % 10000 AS bucket
+  FROM (SELECT DISTINCT gram FROM grams), crc_table
+), counts AS (
+  SELECT is_doc, n, bucket, c FROM grams JOIN hashed USING (gram)
+), totals AS (
+  SELECT sum(c) FILTER (is_doc) AS s_all, coalesce(sum(c) FILTER (NOT is_doc), 0) AS t_all FROM counts
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((coalesce(sum(c) FILTER (NOT is_doc), 0) + 1) * (any_value(s_all) + 10000))::DOUBLE
+                                 / ((coalesce(sum(c) FILTER (is_doc), 0) + 1) * (any_value(t_all) + 10000))::DOUBLE))::BIGINT AS gain
+  FROM counts, totals GROUP BY bucket
+), weights AS (
+  SELECT n, sum(c)::BIGINT AS n_features, sum(c * gain)::BIGINT AS weight FROM counts JOIN gains USING (bucket) WHERE is_doc GROUP BY n
+), scored AS (
+  SELECT doc_id, len(w) >= 20 AS long, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM w LEFT JOIN weights USING (n) WHERE is_doc
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY long ORDER BY score DESC, doc_id) AS place, 5 * (count(*) FILTER (long) OVER ()) // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN long AND place <= drawn THEN place END AS rank FROM placed
+"""

@@ -33,14 +33,25 @@ _U = np.uint64
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits each number needs, 1 at least."""
-    bits = np.ones(len(values), np.int8)
+    bits = np.ones(len(values), np.uint8)
+    top = int(values.max(initial=0))
     for step in (32, 16, 8, 4, 2, 1):
+        if top < 1 << step:  # nothing is as wide, now or after the shifts below
+            continue
         wide = values >= (_U(1) << _U(step))
-        bits[wide] += step
+        bits += wide * np.uint8(step)
         values = np.where(wide, values >> _U(step), values)
     return bits
 
 
+def _widest(bits: np.ndarray, memo: dict[int, np.ndarray], count: int) -> np.ndarray:
+    """The most bits among each number and the ``count`` - 1 after it, from windows half as long."""
+    if count not in memo:
+        a, b = _widest(bits, memo, count - count // 2), _widest(bits, memo, count // 2)
+        memo[count] = np.maximum(a[: len(bits) - count + 1], b[count - count // 2 :])
+    return memo[count]
+
+
 def pack(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Codes runs of numbers; run i ends before ``ends[i]``.
 
@@ -52,17 +63,13 @@ def pack(values: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not n:
         return np.zeros(0, _U), np.zeros(len(ends), np.int64), np.zeros(0, _U), np.zeros(len(ends), np.int64)
     bits = _bits(values)
-    lengths = np.diff(ends, prepend=0)
-    left = np.repeat(ends, lengths) - np.arange(n)
-    selector = np.zeros(n, np.int8)
+    left = np.minimum(np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n), 255).astype(np.uint8)
+    selector, windows = np.zeros(n, np.uint8), {1: bits}
     for s in sorted(PACKS, reverse=True):  # from few wide numbers to many narrow ones
         count, width = PACKS[s]
-        if count > n:
-            continue
-        wide = np.concatenate([[0], np.cumsum(bits > width)])
-        at = np.arange(n - count + 1)
-        at = at[(wide[count:] == wide[: n - count + 1]) & (left[: n - count + 1] >= count)]
-        selector[at] = s
+        if count <= n:
+            fits = (_widest(bits, windows, count) <= width) & (left[: n - count + 1] >= count)
+            selector[: n - count + 1][fits] = s
     step = COUNTS[selector].tolist()
     starts, i = [], 0
     while i < n:

@@ -216,9 +216,9 @@ def expected_files(docs):
     coded = []
     for i, t in docs:
         raw = np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
-        coded.append((i is not None, i or 0, zlib.crc32(raw), len(raw) // 4))
+        coded.append((i is not None, i or 0, zlib.crc32((t or "").encode()), zlib.crc32(raw), len(raw) // 4))
     out, start = [], 0
-    for known, i, crc, n in sorted(coded):
+    for known, i, _, crc, n in sorted(coded):
         out.append((i if known else None, start, n, crc))
         start += n
     return out
@@ -233,6 +233,16 @@ def test_token_files_against_the_library(spark):
     assert sorted(map(tuple, got), key=lambda x: x[1]) == expected_files(docs)
 
 
+def test_words_give_the_ids_of_their_text():
+    r, table = random.Random(14), token_files._Table(VOCABULARY)
+    odd = ["a", "B", "é", "É", "ß", "ÿ", "ĳ", "é", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　", "'s", "'S", "1", "²", "Σς", ".", ", ", "!?", "...", "_", "|",
+           "<|endoftext|>", "<|EndOfText|>", "<|", "́", "ﬁ", "漢", "😀", "\x00", "İ", "K", "ŉ", "ǅ"]
+    for _ in range(4000):
+        text = "".join(r.choice(odd) for _ in range(r.randrange(14)))
+        got = np.frombuffer(table.ids([text.encode()])[0], np.uint32).tolist()
+        assert got == table.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_long_texts_in_pieces_and_many_files(spark, tmp_path, monkeypatch):
     docs = texts(13, 200, 300)
     folder = f"{tmp_path}/tokens"
@@ -243,7 +253,7 @@ def test_long_texts_in_pieces_and_many_files(spark, tmp_path, monkeypatch):
     got = token_files.read_token_files(spark, files, folder).collect()
     assert sorted(map(tuple, got), key=lambda x: x[1]) == expected_files(docs)
     monkeypatch.setattr(token_files, "PIECE", 100)
-    long = docs[11][1] * 9
+    long = (docs[11][1] * 9).encode()
     assert len(list(token_files._pieces(long))) > 5
     table = token_files._Table(VOCABULARY)
     assert b"".join(table.ids([p])[0] for p in token_files._pieces(long)) == table.ids([long])[0]

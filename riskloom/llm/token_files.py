@@ -138,7 +138,7 @@ _FILES = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.st
 _READ = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple]:
+def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int, group: int) -> Iterator[tuple]:
     """doc_ids, lengths and packed words of some documents at a time. Ids have 32 bits, so there are no escapes."""
     end, table = array("I", [end_id]).tobytes(), _table(path)
 
@@ -151,7 +151,7 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterat
         doc_ids, texts, size = [], [], 0
         for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = value.as_py() or b""
-            if size and size + len(text) > PIECE:
+            if size and size + len(text) > group:
                 yield pack(doc_ids, table.ids(texts))
                 doc_ids, texts, size = [], [], 0
             if len(text) > PIECE:
@@ -189,7 +189,7 @@ def _write(path: str, folder: str, end_id: int, file_words: int):
             docs, lengths, words, n_words = [], [], [], 0
             return _arrow([row], _FILES)
 
-        for some_docs, some_lengths, some_words in _packed(batches, path, end_id):
+        for some_docs, some_lengths, some_words in _packed(batches, path, end_id, min(PIECE, 8 * file_words)):
             docs += some_docs
             lengths += some_lengths
             words.append(some_words)

@@ -17,6 +17,7 @@ from riskloom.operators import portfolio as P
 from riskloom.operators import scoring as S
 from riskloom.operators import training as T
 from riskloom.operators import validation as V
+from riskloom.operators.loading import append_projection, stratified_folds
 from riskloom.plans.base_sql import on_loans
 from riskloom.plans.book import loans
 from riskloom.plans.metric_sql import measures
@@ -31,8 +32,20 @@ from riskloom.streaming import scoring as SS
 
 
 @cache
-def _trained(spark: SparkSession, application: str, sf_dir: str):
-    return T.run_training(spark, loans(spark, sf_dir), folder=_folder(spark, application, sf_dir))
+def _fitted(spark: SparkSession, application: str, sf_dir: str, name: str):
+    """One model, fitted and saved on first use, whichever queries ask for it."""
+    book = loans(spark, sf_dir)
+    fits = {
+        "boosted": lambda: T.fit_boosted(_training_rows(spark, application, sf_dir)),
+        "scorecard": lambda: T.fit_scorecard(_training_rows(spark, application, sf_dir)),
+        "lgd": lambda: T.train_lgd(book),
+        "ead": lambda: T.train_ead(book),
+        "pd": lambda: T.champion(_fitted(spark, application, sf_dir, "boosted"), _fitted(spark, application, sf_dir, "scorecard")),
+    }
+    model = fits[name]()
+    if name != "boosted":  # it is saved where it is the champion
+        T.save_trained(spark, model, _folder(spark, application, sf_dir), name)
+    return model
 
 
 @cache
@@ -40,12 +53,20 @@ def _folder(spark: SparkSession, application: str, sf_dir: str) -> str:
     return work_folder(spark, "models")
 
 
-def trained(s, d):
-    return _trained(s, s.sparkContext.applicationId, d)
+@cache
+def _training_rows(spark: SparkSession, application: str, sf_dir: str) -> DataFrame:
+    path = work_folder(spark, "training-rows")
+    T.pd_rows(loans(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def trained(s, d, name):
+    return _fitted(s, s.sparkContext.applicationId, d, name)
 
 
-def model_folder(s, d):
-    trained(s, d)
+def model_folder(s, d, *names):
+    for name in names:
+        trained(s, d, name)
     return _folder(s, s.sparkContext.applicationId, d)
 
 
@@ -56,7 +77,7 @@ def _metric_rows(s, models) -> DataFrame:
 
 def model_scores(s, d) -> DataFrame:
     """Whole book scored by the saved models: PD, LGD and EAD per loan."""
-    folder = model_folder(s, d)
+    folder = model_folder(s, d, "pd", "lgd", "ead")
     x = model_requests(s, d)
     for add, name in ((T.with_pd, "pd"), (T.with_lgd, "lgd"), (T.with_ead, "ead")):
         x = add(x, T.load_model(f"{folder}/{name}"))
@@ -83,10 +104,26 @@ def refit_comparison(s, d) -> DataFrame:
 
 
 def importance(s, d) -> DataFrame:
-    folder = work_folder(s, "booster")
-    rows = T.training_rows(loans(s, d).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES)), K.PD_FEATURES, "is_default")
-    T.train_boosted_pd(rows).save(folder)
-    return T.feature_importance(folder, K.PD_FEATURES, s)
+    """Shares of the boosted model's features in gain, cover and splits."""
+    return T.feature_importance(trained(s, d, "boosted").model.node_table(s), K.PD_FEATURES)
+
+
+def folds(s, d) -> DataFrame:
+    """Fold of every resolved loan."""
+    resolved = loans(s, d).filter(F.col("loan_status").isin(*K.RESOLVED_STATUSES))
+    return stratified_folds(resolved, "is_default").select("loan_id", F.col("is_default").cast("int").alias("is_default"), "fold")
+
+
+def appended_projection(s, d) -> DataFrame:
+    """Two training loads appended to one table, totals of each column that is a number."""
+    path = work_folder(s, "projection")
+    for rest in (0, 1):
+        append_projection(loans(s, d).filter(F.year("issue_d") % 2 == rest), path)
+    x = s.read.parquet(path)
+    return x.groupBy("grade", "term").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("loan_amnt").cast("double").alias("amount"),
+        F.sum("fico_range_low").cast("double").alias("fico"), F.count_if("is_default").alias("bad"),
+    )
 
 
 # --- files -----------------------------------------------------------------------
@@ -132,7 +169,7 @@ def metrics_file(s, d) -> DataFrame:
 
 
 def run_log(s, d) -> DataFrame:
-    folder = model_folder(s, d)
+    folder = model_folder(s, d, "pd", "scorecard", "lgd", "ead")
     return s.read.parquet(f"{folder}/runs").select(
         "experiment", "run", F.map_keys("params").alias("params"), F.size("metrics").alias("n_metrics")
     )
@@ -205,10 +242,22 @@ _BATCH_SQL = (  # the file has no gaps
 )
 
 QUERIES = {
-    "train_pd": (lambda s, d: _metric_rows(s, [trained(s, d)["pd"]]), None),
-    "train_scorecard": (lambda s, d: T.coefficients(trained(s, d)["scorecard"], s), None),
-    "train_lgd": (lambda s, d: _metric_rows(s, [trained(s, d)["lgd"]]), None),
-    "train_ead": (lambda s, d: _metric_rows(s, [trained(s, d)["ead"]]), None),
+    "train_pd": (lambda s, d: _metric_rows(s, [trained(s, d, "pd")]), None),
+    "train_scorecard": (lambda s, d: T.coefficients(trained(s, d, "scorecard"), s), None),
+    "train_lgd": (lambda s, d: _metric_rows(s, [trained(s, d, "lgd")]), None),
+    "train_ead": (lambda s, d: _metric_rows(s, [trained(s, d, "ead")]), None),
+    "stratified_folds": (
+        folds,
+        on_loans(f"""resolved AS (SELECT loan_id, CAST(is_default AS INTEGER) AS is_default FROM loans WHERE loan_status IN ({', '.join(f"'{x}'" for x in K.RESOLVED_STATUSES)})),
+        placed AS (SELECT *, COUNT(*) OVER (PARTITION BY is_default) AS n, ROW_NUMBER() OVER (PARTITION BY is_default
+          ORDER BY CAST('0x' || SUBSTR(MD5('42:' || CAST(loan_id AS VARCHAR)), 1, 13) AS BIGINT)) - 1 AS place FROM resolved)
+        SELECT loan_id, is_default, CASE WHEN place < n * 60 // 100 THEN 'train' WHEN place < n * 80 // 100 THEN 'calibration' ELSE 'test' END AS fold FROM placed"""),
+    ),
+    "append_projection": (
+        appended_projection,
+        on_loans("""SELECT grade, term_months AS term, COUNT(*) AS n, CAST(SUM(loan_amnt) AS DOUBLE) AS amount, CAST(SUM(fico_avg) AS DOUBLE) AS fico,
+        COUNT(*) FILTER (is_default) AS bad FROM loans WHERE issue_d IS NOT NULL GROUP BY 1, 2"""),
+    ),
     "feature_importance": (importance, None),
     "model_scoring": (model_scores, None),
     "refit_comparison": (refit_comparison, None),

@@ -48,8 +48,8 @@ TABLE_BYTES = 1 << 25  # their length, before it starts anew
 SUFFIX = ".s8b"
 FILES = "part int, number int, file string, first bigint, n_docs bigint, n_ids bigint"
 READ = "doc_id bigint, part int, at bigint, n_tokens bigint, ids_crc32 bigint"
-# Closing punctuation behind a letter or digit is a token run of its own.
-_CLOSING = re.compile(rb"[.,;:!?&$|](?<=[a-z0-9].)[.,;:!?&$|]*(?=[ \n]|$)")
+# Closing punctuation behind a letter or digit (ASCII, or a lower-case letter up to U+00FF) is a token run of its own.
+_CLOSING = re.compile(rb"[!-&(-/:-@[-`{-~](?:(?<=[a-z0-9].)|(?<=\xc3[\x9f-\xb6\xb8-\xbf].))[!-&(-/:-@[-`{-~]*(?=[ \n]|$)")
 # Words of Latin letters that normal forms and lower case leave letters: one run of tokens each.
 _LATIN = re.compile("[a-zß-öø-ÿ]+")
 
@@ -98,10 +98,8 @@ class _Table:
             start = stop
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > TABLE or self.size > TABLE_BYTES:
-            self.known, self.size = {}, 0
         plain, texts, other, runs = [], [], [], self.ends.any()
-        for word in words.difference(self.known):
+        for word in words:
             text = word.decode()
             self.size += len(word)
             if runs and _LATIN.fullmatch(text):
@@ -117,10 +115,16 @@ class _Table:
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as 32-bit integers."""
+        if len(self.known) > TABLE or self.size > TABLE_BYTES:
+            self.known, self.size = {}, 0
         split = [_words(t) for t in texts]
-        self.learn(set().union(*split))
-        look = self.known.__getitem__
-        return [b"".join(map(look, words)) for words in split]
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in found]
+        self.learn({words[i] for words, places in zip(split, gaps, strict=True) for i in places})
+        for words, ids, places in zip(split, found, gaps, strict=True):
+            for i in places:
+                ids[i] = self.known[words[i]]
+        return [b"".join(ids) for ids in found]
 
 
 @cache

@@ -236,7 +236,7 @@ def test_token_files_against_the_library(spark):
 def test_words_give_the_ids_of_their_text():
     r, table = random.Random(14), token_files._Table(VOCABULARY)
     odd = ["a", "B", "é", "É", "ß", "ÿ", "ĳ", "é", " ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "　", "'s", "'S", "1", "²", "Σς", ".", ", ", "!?", "...", "_", "|",
-           "<|endoftext|>", "<|EndOfText|>", "<|", "́", "ﬁ", "漢", "😀", "\x00", "İ", "K", "ŉ", "ǅ"]
+           "ç###", "ø%%*", "x&!", "×.", "÷!", "<|endoftext|>", "<|EndOfText|>", "<|", "́", "ﬁ", "漢", "😀", "\x00", "İ", "K", "ŉ", "ǅ"]
     for _ in range(4000):
         text = "".join(r.choice(odd) for _ in range(r.randrange(14)))
         got = np.frombuffer(table.ids([text.encode()])[0], np.uint32).tolist()

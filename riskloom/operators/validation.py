@@ -1,8 +1,9 @@
 """Validation of scores: discrimination, calibration, stability and error measures.
 
-Scores are probabilities on the grid of six decimals on which predictions are stored.
-Rows are counted per group and grid point before anything is ordered, so a running total
-sees at most a million points per group however many loans there are.
+Rows are counted per group and distinct score before anything is ordered; scores are not
+rounded. Running totals go in two phases: score ranges of relative width are totalled, and the
+totals before a range are added to the running ones within it, so that a task orders one range
+and no task sees all scores of a group.
 """
 
 from __future__ import annotations
@@ -17,32 +18,49 @@ from riskloom.functions.columns import banded, histogram_slot
 from riskloom.operators.lookup import attach_statistic
 from riskloom.operators.quantiles import exact_quantiles
 
-SCORE_DIGITS = 6
+RANGES_PER_OCTAVE = 1024
 
 
 def score_counts(
-    scored: DataFrame, keys: Sequence[str] = (), score: str = "score", target: str = "is_default"
+    scored: DataFrame, keys: Sequence[str] = (), score: str = "score", target: str = "is_default", digits: int | None = None
 ) -> DataFrame:
-    """Loans and defaults per group and score."""
-    point = F.round(F.col(score).cast("double"), SCORE_DIGITS)
+    """Loans and defaults per group and score, which is rounded only if ``digits`` are given."""
+    point = F.col(score).cast("double")
     return (
         scored.filter(F.col(score).isNotNull())
-        .groupBy(*keys, point.alias("score"))
+        .groupBy(*keys, (point if digits is None else F.round(point, digits)).alias("score"))
         .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("int")).alias("bad"))
         .withColumn("good", F.col("n") - F.col("bad"))
     )
 
 
+def score_range(score: Column) -> Column:
+    """A whole number that never falls as the score rises; a range spans a 1024th of an octave."""
+    size = (F.floor(F.log2(F.abs(score)) * RANGES_PER_OCTAVE) + 1100 * RANGES_PER_OCTAVE).cast("bigint")
+    return F.when(score == 0, F.lit(0).cast("bigint")).otherwise(F.signum(score).cast("bigint") * size)
+
+
 def running_counts(counts: DataFrame, keys: Sequence[str] = (), *, descending: bool = False) -> DataFrame:
     """Running and whole totals of ``n``, ``bad`` and ``good`` in the order of the score."""
-    order = F.col("score").desc() if descending else F.col("score").asc()
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = ("n", "bad", "good")
+    turn = F.desc if descending else F.asc
+    ranged = counts.withColumn("_range", score_range(F.col("score")))
+    before = Window.partitionBy(*keys).orderBy(turn("_range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    return counts.withColumns(
-        {
-            **{f"cum_{c}": F.sum(c).over(upto) for c in ("n", "bad", "good")},
-            **{f"all_{c}": F.sum(c).over(whole) for c in ("n", "bad", "good")},
-        }
+    # one row per range: some thousands a group, whatever the number of scores
+    totals = ranged.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{c}") for c in parts)).select(
+        *(F.col(k).alias(f"_{k}") for k in keys),
+        F.col("_range").alias("_at"),
+        *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in parts),
+        *(F.sum(f"_{c}").over(whole).alias(f"all_{c}") for c in parts),
+    )
+    same = F.col("_range") == F.col("_at")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    within = Window.partitionBy(*keys, "_range").orderBy(turn("score")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumns({f"cum_{c}": F.sum(c).over(within) for c in parts}).join(totals, same)
+    return placed.withColumns({f"cum_{c}": F.col(f"cum_{c}") + F.col(f"_before_{c}") for c in parts}).select(
+        *counts.columns, *(f"cum_{c}" for c in parts), *(f"all_{c}" for c in parts)
     )
 
 
@@ -58,12 +76,13 @@ def discrimination(
     *,
     min_rows: int = 0,
     min_defaults: int = 0,
+    digits: int | None = None,
 ) -> DataFrame:
     """AUC, Gini, KS with the score at which it occurs, and Brier score per group.
 
     Ties count half in the AUC, and the KS is read only between distinct scores.
     """
-    r = running_counts(score_counts(scored, keys, score, target), keys)
+    r = running_counts(score_counts(scored, keys, score, target, digits), keys)
     below = F.col("cum_good") - F.col("good")
     won = F.col("bad").cast("double") * (below.cast("double") + F.col("good") * 0.5)
     gap = F.abs(_ratio("cum_bad", "all_bad") - _ratio("cum_good", "all_good"))

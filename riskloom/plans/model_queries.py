@@ -150,6 +150,30 @@ def loans_file(s, d) -> DataFrame:
     return P.portfolio_by_grade(book)
 
 
+def wide_loans_file(s, d) -> DataFrame:
+    """A lender's file with counts written 690.0, columns in another order, further columns and bad rows."""
+    source = work_folder(s, "wide-lender")
+    raw = testbook.raw_loans(s, d).withColumn("issue_d", F.date_format("issue_d", "MMM-yyyy"))
+    counts = ("delinq_2yrs", "fico_range_low", "fico_range_high", "inq_last_6mths", "open_acc", "pub_rec", "total_acc")
+    columns = [F.concat(F.col(c).cast("string"), F.lit(".0")).alias(c) if c in counts else F.col(c) for c in readers.PROJECTIONS["load"][::-1]]
+    wide = raw.select(F.lit("x").alias("note"), *columns, F.lit(None).cast("string").alias("desc"))
+    bad = F.col("loan_id") % 97
+    wide = wide.withColumn("loan_amnt", F.when(bad == 0, "many").otherwise(F.col("loan_amnt").cast("string")))
+    wide.withColumn("open_acc", F.when(bad == 1, "690.5").otherwise(F.col("open_acc"))).write.option("header", True).csv(source)
+    loans_read = Fe.build_loans(readers.read_loans_csv(s, source))
+    read = loans_read.groupBy(F.concat(F.lit("loans of grade "), "grade").alias("what")).agg(
+        F.count(F.lit(1)).cast("string").alias("value")
+    )
+    fico = loans_read.agg(F.lit("sum of scores").alias("what"), F.sum("fico_range_low").cast("bigint").cast("string").alias("value"))
+    rejects = readers.reject_counts(s, source).select(F.concat(F.lit("rejected for "), "column").alias("what"), F.col("n").cast("string").alias("value"))
+    types = readers.inferred_types(s, source).where(F.col("column").isin(*_TYPES)).select(F.concat(F.lit("type of "), "column").alias("what"), F.col("type").alias("value"))
+    return read.unionByName(fico).unionByName(rejects).unionByName(types)
+
+
+_TYPES = {"loan_id": "int", "delinq_2yrs": "int", "fico_range_low": "int", "open_acc": "double", "dti": "double", "issue_d": "date",
+          "loan_amnt": "text", "grade": "text", "desc": "null", "note": "text"}
+
+
 def _csv_order(raw, order):
     import re
 
@@ -263,6 +287,15 @@ QUERIES = {
     "refit_comparison": (refit_comparison, None),
     "csv_roundtrip": (applications_file, _BATCH_SQL),
     "loans_csv_load": (loans_file, PORTFOLIO["portfolio_by_grade"][1]),
+    "loans_csv_wide": (
+        wide_loans_file,
+        on_loans(f"""good AS (SELECT * FROM loans WHERE loan_id % 97 > 1)
+        SELECT 'loans of grade ' || grade AS what, CAST(COUNT(*) AS VARCHAR) AS value FROM good GROUP BY grade
+        UNION ALL SELECT 'sum of scores', CAST(CAST(SUM(fico_range_low) AS BIGINT) AS VARCHAR) FROM good
+        UNION ALL SELECT 'rejected for loan_amnt', CAST(COUNT(*) AS VARCHAR) FROM raw_loans WHERE loan_id % 97 = 0
+        UNION ALL SELECT 'rejected for open_acc', CAST(COUNT(*) AS VARCHAR) FROM raw_loans WHERE loan_id % 97 = 1
+        UNION ALL VALUES {', '.join(f"('type of {c}', '{t}')" for c, t in _TYPES.items())}"""),
+    ),
     "metrics_json": (
         metrics_file,
         on_loans(f"""{_FINAL}, {measures('', 'final_scored')}, m AS (SELECT ROUND(ROUND(auc * 2 - 1, 6), 4) AS gini, ROUND(ks, 4) AS ks,

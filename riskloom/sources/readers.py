@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
 
 from riskloom import constants as K
 from riskloom.schemas import APPLICATIONS, RAW_LOANS
@@ -26,23 +27,60 @@ PROJECTIONS = {
 }
 
 
+# Narrowest first; a column has the first type that all its values fit, and text otherwise.
+INFERRED = ("null", "int", "double", "date", "text")
+
+
+def _whole(text: Column, kind) -> Column:
+    """A whole number, also where it is written with a decimal point, as in 690.0."""
+    number = text.try_cast("decimal(38,18)")
+    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), F.floor(number)).try_cast(kind))
+
+
+def _read(text: Column, kind) -> Column:
+    return _whole(text, kind) if isinstance(kind, IntegralType) else text.try_cast(kind)
+
+
+def _text_rows(spark: SparkSession, path: str, trim: bool = False) -> DataFrame:
+    text = spark.read.option("header", True)
+    if trim:
+        text = text.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    return text.csv(path)
+
+
+def inferred_types(spark: SparkSession, path: str) -> DataFrame:
+    """Per column of a CSV file its narrowest type: null < int < double < date < text.
+
+    One pass over the file. Each task keeps three flags a column, whether all values so far are
+    whole numbers, numbers or dates, and whether there is a value; flags merge by AND and OR, so
+    neither the order of rows nor their number matters.
+    """
+    rows = _text_rows(spark, path, trim=True)
+
+    def flags(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        fits = (_whole(c, LongType()).isNotNull(), c.try_cast("double").isNotNull(), c.try_cast("date").isNotNull() | F.try_to_date(c, "MMM-yyyy").isNotNull())
+        some = F.coalesce(F.bool_or(c.isNotNull()), F.lit(False))
+        kinds = [F.when(~some, INFERRED[0]), *(F.when(F.bool_and(F.when(c.isNotNull(), f)), k) for f, k in zip(fits, INFERRED[1:], strict=False))]
+        return F.struct(F.lit(name).alias("column"), F.coalesce(*kinds, F.lit(INFERRED[-1])).alias("type"))
+
+    return rows.agg(F.array(*(flags(c) for c in rows.columns)).alias("found")).select(F.inline("found"))
+
+
 def _by_name(spark: SparkSession, path: str, schema: str, columns: Sequence[str], key: str, trim: bool = False) -> DataFrame:
     """The named columns of a CSV file, wherever its header has them, cast to the schema.
 
     ``_unread`` lists the columns whose value is no value of their type. A missing key column
     is filled with row numbers; any other missing column is an error.
     """
-    text = spark.read.option("header", True)
-    if trim:
-        text = text.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-    rows = text.csv(path)
+    rows = _text_rows(spark, path, trim)
     if key not in rows.columns:
         rows = rows.withColumn(key, F.monotonically_increasing_id().cast("string"))
     absent = [c for c in columns if c not in rows.columns]
     if absent:
         raise ValueError(f"the file has no column {', '.join(absent)}")
     kinds = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
-    read = {c: F.col(c).try_cast(kinds[c]) for c in columns}
+    read = {c: _read(F.col(c), kinds[c]) for c in columns}
     unread = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & v.isNull(), F.lit(c)) for c, v in read.items()]))
     return rows.select(*[v.alias(c) for c, v in read.items()], unread.alias("_unread"))
 
@@ -50,9 +88,15 @@ def _by_name(spark: SparkSession, path: str, schema: str, columns: Sequence[str]
 def read_loans_csv(spark: SparkSession, path: str, use: str = "load") -> DataFrame:
     """Raw loans from a CSV file with a header: columns by name, any order, others ignored.
 
-    Rows with an unreadable value are left to ``rejected_loans_csv``.
+    Rows with an unreadable value are left to ``rejected_loans_csv``. A file of which no row can
+    be read is an error.
     """
-    return _by_name(spark, path, RAW_LOANS, PROJECTIONS[use], "loan_id").where(F.size("_unread") == 0).drop("_unread")
+    rows = _by_name(spark, path, RAW_LOANS, PROJECTIONS[use], "loan_id")
+    good = rows.where(F.size("_unread") == 0).drop("_unread")
+    if good.isEmpty() and not rows.isEmpty():  # reads up to the first good row
+        reasons = ", ".join(f"{r['column']} ({r['n']})" for r in reject_counts(spark, path, use).orderBy(F.col("n").desc(), "column").collect())
+        raise ValueError(f"no row of the file can be read; values that are none of their type: {reasons}")
+    return good
 
 
 def rejected_loans_csv(spark: SparkSession, path: str, use: str = "load") -> DataFrame:
@@ -61,6 +105,12 @@ def rejected_loans_csv(spark: SparkSession, path: str, use: str = "load") -> Dat
     return rows.withColumnRenamed("_unread", "unread")
 
 
+def reject_counts(spark: SparkSession, path: str, use: str = "load") -> DataFrame:
+    """Rows left out per column whose value is no value of its type."""
+    why = rejected_loans_csv(spark, path, use).select(F.explode("unread").alias("column"))
+    return why.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_applications_csv(spark: SparkSession, path: str) -> DataFrame:
     """A batch-scoring file, columns by name; blanks are gaps. Unreadable numbers become gaps too.
 

@@ -79,3 +79,28 @@ def test_pivot_leaves_out_quarters_without_grades(spark):
     loans = spark.createDataFrame(rows, "issue_d date, grade string, is_default boolean")
     got = P.vintage_grade_pivot(loans, quarters=2).collect()
     assert [r.issue_quarter for r in got] == ["2015Q1", "2015Q3"]
+
+
+def test_whole_numbers_with_a_decimal_point(spark):
+    names = list(readers.PROJECTIONS["training"])
+    line = {"loan_id": "7", "loan_amnt": "1000", "fico_range_low": "690.0", "open_acc": "1e1", "pub_rec": " 3"}
+    path = write_text(spark, "decimal-csv", [",".join(names), *(",".join({**line, "total_acc": t}.get(c, "") for c in names) for t in ("12.00", "12.5", "99999999999.0"))])
+    rows = readers.read_loans_csv(spark, path, "training").collect()
+    assert [(r.loan_id, r.fico_range_low, r.open_acc, r.total_acc) for r in rows] == [(7, 690, 10, 12)]
+    assert [tuple(r) for r in readers.reject_counts(spark, path, "training").collect()] == [("total_acc", 2)]
+
+
+def test_a_file_without_a_readable_row_is_an_error(spark):
+    names = list(readers.PROJECTIONS["training"])
+    path = write_text(spark, "unreadable-csv", [",".join(names), ",".join("x" if c in ("dti", "pub_rec") else "" for c in names)])
+    with pytest.raises(ValueError, match=r"dti \(1\), pub_rec \(1\)"):
+        readers.read_loans_csv(spark, path, "training")
+    empty = write_text(spark, "empty-csv", [",".join(names)])
+    assert readers.read_loans_csv(spark, empty, "training").collect() == []
+
+
+def test_narrowest_types(spark):
+    lines = ["a,b,c,d,e,f,g", "1,1.5,2015-01-31,x,,Dec-2015,", "2.0,2,2016-02-29,1,,Jan-2016,7", "-3,1e3,2016-12-01,2015-01-01,,Feb-2016,0.0"]
+    path = write_text(spark, "types-csv", lines)
+    got = {r["column"]: r["type"] for r in readers.inferred_types(spark, path).collect()}
+    assert got == {"a": "int", "b": "double", "c": "date", "d": "text", "e": "null", "f": "date", "g": "int"}

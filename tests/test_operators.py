@@ -68,6 +68,39 @@ def test_backtest_gates(spark):
     assert [r["ano"] for r in V.cohort_backtest(df).collect()] == [2012]
 
 
+def test_discrimination_of_close_scores(spark):
+    # closer than any rounding to six digits, with ties, zeros and negative scores
+    scores = [0.0, 0.0, -1.5, 1e-9, 1.1e-9, 1.1e-9, 2e-9, 0.3, 0.3 + 1e-12, 7.0]
+    bad = [False, True, False, False, True, False, True, False, True, True]
+    df = spark.createDataFrame(list(zip(scores, bad)), "score double, is_default boolean")
+    row = V.discrimination(df).first()
+    pairs = [(a, b) for a, x in zip(scores, bad) if x for b, y in zip(scores, bad) if not y]
+    assert row["auc"] == pytest.approx(sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs), abs=1e-6)
+    assert V.roc_points(df).count() == len(set(scores))
+    assert V.discrimination(df, digits=6).first()["auc"] != row["auc"]
+
+
+def test_ten_million_distinct_scores(spark):
+    n = 10_000_000
+    df = spark.range(n).select(((F.col("id") + 0.5) / n).alias("score"), (F.col("id") % 10 * n < F.col("id") * 10).alias("is_default"))
+    plan = V.running_counts(V.score_counts(df))._jdf.queryExecution().toString()
+    ids = np.arange(n)
+    bad = ids % 10 * n < ids * 10
+    below = np.cumsum(~bad)
+    auc = below[bad].sum() / (bad.sum() * (~bad).sum())
+    row = V.discrimination(df).first()
+    assert (row["n_obs"], row["n_defaults"]) == (n, bad.sum()) and row["auc"] == pytest.approx(auc, abs=1e-6)
+    # the only window over a whole group orders ranges
+    assert "_range" in plan and "windowspecdefinition(score" not in plan
+
+
+def test_score_ranges_never_fall(spark):
+    rng = np.random.default_rng(1)
+    x = np.sort(np.concatenate([rng.normal(size=3000), 10.0 ** rng.uniform(-300, 300, 2000), -(10.0 ** rng.uniform(-320, 300, 2000)), [0.0, 5e-324, -5e-324]]))
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).select("x", V.score_range(F.col("x")).alias("r")).toPandas().sort_values("x")
+    assert df.r.is_monotonic_increasing
+
+
 # --- quantiles, PSI and WoE ------------------------------------------------------
 @pytest.mark.parametrize("n", [1, 2, 7, 500, 20_000])
 def test_quantiles_are_exact(spark, n):
@@ -83,6 +116,33 @@ def test_quantiles_are_exact(spark, n):
     assert got["c"] == [5.0] * len(probs)
 
 
+def test_quantiles_of_outliers_and_infinities(spark):
+    rng = np.random.default_rng(2)
+    wide = np.where(rng.random(5000) < 0.5, -1.7e308, 1.7e308 * rng.random(5000))
+    far = np.where(rng.random(5000) < 0.01, 1e300, rng.normal(size=5000))
+    ends = np.where(rng.random(5000) < 0.2, np.inf, np.where(rng.random(5000) < 0.3, -np.inf, rng.normal(size=5000)))
+    df = spark.createDataFrame(pd.DataFrame({"a": wide, "b": far, "c": ends}))
+    probs = [i / 64 for i in range(65)]
+    got = exact_quantiles(df, ["a", "b", "c"], probs)
+    for c, x in (("a", wide), ("b", far), ("c", ends)):
+        ranked = np.sort(x)
+        for p, v in zip(probs, got[c]):
+            low, high = ranked[int(np.floor(4999 * p))], ranked[int(np.ceil(4999 * p))]
+            assert low <= v <= high, (c, p)
+
+
+def test_folds_hold_the_same_shares_of_each_class(spark):
+    from riskloom.operators.loading import stratified_folds
+
+    df = spark.range(3001).select(F.col("id").alias("loan_id"), F.when(F.col("id") % 7 > 0, F.col("id") % 7 > 4).alias("y"))
+    got = stratified_folds(df.repartition(5), "y")
+    sizes = {(r["y"], r["fold"]): r["count"] for r in got.groupBy("y", "fold").count().collect()}
+    for y, n in ((True, sum(i % 7 > 4 for i in range(3001))), (False, sum(0 < i % 7 <= 4 for i in range(3001))), (None, sum(i % 7 == 0 for i in range(3001)))):
+        assert sizes[y, "train"] == n * 60 // 100 and sizes[y, "train"] + sizes[y, "calibration"] == n * 80 // 100
+    again = stratified_folds(df.coalesce(1), "y")
+    assert got.exceptAll(again).count() == 0
+
+
 def test_psi_of_the_same_sample_is_zero(spark):
     df = spark.range(1000).select((F.col("id") % 97).cast("double").alias("x"))
     assert V.compute_psi(df, df, "x").first()["psi"] == 0.0

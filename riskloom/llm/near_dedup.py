@@ -12,8 +12,11 @@
 4. Not all pairs of a group are confirmed. In each pass a class brings its most promising
    partner per pair of blocks; confirmed links are contracted to components, and what lies in
    one component is not looked at again. The first passes look at one of ``PARTS`` of the
-   buckets each, the last of ``PASSES`` at all of them; then all pairs of any bucket that
-   are left between different components are confirmed, so no link depends on the parts.
+   buckets each, the last of ``PASSES`` at all of them. Classes that still have a promising
+   partner in another component then bring their full shingle sets into the buckets: blocks of
+   ``BLOCK_BYTES`` meet block by block, every pair of components is compared in full by an
+   index of the shingles, and a spanning forest of the links is handed on, so that what leaves
+   a task stays below its rows even where a large group is all but alike.
 5. Components come from alternating large-star and small-star steps on the edges.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and
@@ -39,6 +42,7 @@ BANDS, ROWS = 28, 4
 SLACK = 0.17  # signature agreement may lie this far below the similarity
 BLOCK = 1024
 PASSES = 3
+BLOCK_BYTES = 2 << 20  # of the sets of one block
 PARTS = 8  # of the buckets, the passes before the last of PASSES look at one part each
 
 
@@ -122,10 +126,10 @@ def _relabel(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _promising(similarity: int, best: bool):
-    """Pairs of blocks (a, b) to pairs of classes whose components differ and signatures agree.
+    """Pairs of blocks (a, b) to classes of different components whose signatures agree.
 
-    ``best``: only the most alike partner of each class. Otherwise every pair, in the first of
-    the bands it shares only.
+    ``best``: each class with the most alike partner (u, v). Otherwise the classes alone (key,
+    id) that have a partner, each pair in the first of the bands it shares only.
     """
     least = similarity / 100 - SLACK
 
@@ -159,30 +163,110 @@ def _promising(similarity: int, best: bool):
                     if not best:
                         new = ~(ka[low + x, :here] == kb[y, :here]).any(1)
                         x, y = x[new], y[new]
-                    found.append((np.minimum(ia[low + x], ib[y]), np.maximum(ia[low + x], ib[y])))
+                    if best:
+                        found.append((np.minimum(ia[low + x], ib[y]), np.maximum(ia[low + x], ib[y])))
+                    else:
+                        open_ids = np.unique(np.concatenate([ia[low + x], ib[y]]))
+                        found.append((np.full(len(open_ids), batch.column(2)[i].as_py(), np.int64), open_ids))
             if found:
                 u, v = (np.concatenate(z) for z in zip(*found, strict=True))
                 u, v = np.unique(np.stack([u, v]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"] if best else ["key", "id"])
 
     return run
 
 
 def _candidates(members: DataFrame, sketches: DataFrame, similarity: int, best: bool, part: int | None = None) -> DataFrame:
-    """u, v: pairs of classes of different components that may be alike.
+    """u, v: pairs of classes of different components that may be alike; or key, id of such classes.
 
     ``part``: only buckets whose key falls into that one of ``PARTS``.
     """
     if part is not None:
         members = members.where(F.pmod(F.xxhash64("key"), F.lit(PARTS)) == part)
-    sizes =members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = sizes.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     rows = members.join(mixed, "key").join(sketches, "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block")
     blocks = staged(rows.groupBy("key", block).agg(F.collect_list(F.struct("id", "component", "n", "sketch", "bands")).alias("rows")), "blocks")
     a, b = blocks.alias("a"), blocks.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block"))).select(F.col("a.rows").alias("a"), F.col("b.rows").alias("b"), F.col("a.key").alias("key"))
-    return met.mapInArrow(_promising(similarity, best), "u bigint, v bigint").distinct()
+    return met.mapInArrow(_promising(similarity, best), "u bigint, v bigint" if best else "key bigint, id bigint").distinct()
+
+
+def _sets(words: int):
+    """id and the sorted hashes of its shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, data, offsets in slices(batch.column(1)):
+                found = pa.array([x.tobytes() for x in shingle_sets(data, offsets, words)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), found], names=["id", "hashes"])
+
+    return run
+
+
+class _Index:
+    """Which sets hold a hash."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        hashes = np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owner, self.n = hashes[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order], len(sets)
+
+    def shared(self, one: np.ndarray) -> np.ndarray:
+        """Hashes that each of the sets shares with this one."""
+        low, high = np.searchsorted(self.hashes, one, "left"), np.searchsorted(self.hashes, one, "right")
+        sizes = high - low
+        at = np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
+def _forest(similarity: int):
+    """Pairs of blocks (a, b) with full sets to links (u, v) that join their components, as few as that takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for i in range(batch.num_rows):
+                sides = []
+                for c in (0, 1):
+                    rows = batch.column(c)[i].values
+                    hashes = [np.frombuffer(x, np.uint64) for x in rows.field("hashes").to_pylist()]
+                    sides.append((np.asarray(rows.field("id")), np.asarray(rows.field("component")), np.array([len(x) for x in hashes]), hashes))
+                (ia, ca, na, sa), (ib, cb, nb, sb) = sides
+                index = _Index(sb)
+                names, codes = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+                root, cb = np.arange(len(names)), codes[len(ca) :]
+                for x in range(len(ia)):
+                    shared = index.shared(sa[x])
+                    alike = 100 * shared >= similarity * (na[x] + nb - shared)
+                    mine = root[codes[x]]
+                    for y in np.flatnonzero(alike & (root[cb] != mine)):
+                        if root[cb[y]] != mine:
+                            links.append((min(ia[x], ib[y]), max(ia[x], ib[y])))
+                            root[root == root[cb[y]]] = mine
+            u, v = np.array(links, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return run
+
+
+def _rest(members: DataFrame, sketches: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
+    """u, v: links that join all components which the buckets link, confirmed on full sets."""
+    spark = members.sparkSession
+    waiting = staged(_candidates(members, sketches, similarity, best=False), "open-classes")
+    wanted = waiting.select("id").distinct()
+    sets = staged(texts.select("id", "text").join(wanted, "id", "left_semi").mapInArrow(_sets(words), "id bigint, hashes binary"), "open-sets")
+    rows = members.join(waiting, ["key", "id"])
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum(8 * F.col("n")) / BLOCK_BYTES).alias("blocks"))
+    rows = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).join(sets, "id")
+    blocks = staged(rows.groupBy("key", "block").agg(F.collect_list(F.struct("id", "component", "hashes")).alias("rows")), "set-blocks")
+    a, b = blocks.alias("a"), blocks.alias("b")
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.block") <= F.col("b.block"))).select(F.col("a.rows").alias("a"), F.col("b.rows").alias("b"))
+    arrow_rows(spark, 8)  # a row is two blocks
+    found = staged(met.mapInArrow(_forest(similarity), "u bigint, v bigint").distinct(), "rest-links")
+    arrow_rows(spark)
+    return found
 
 
 def _components(docs: DataFrame, words: int, similarity: int) -> tuple[DataFrame, DataFrame | None]:
@@ -209,25 +293,25 @@ def _components(docs: DataFrame, words: int, similarity: int) -> tuple[DataFrame
     texts = staged(texts.dropDuplicates(["id"]), "candidate-texts")
     sketches = classes.select("id", "sketch", "bands")
     tested = links = None
-    best, passes = True, 0
-    while True:
-        part = passes if best and passes < PASSES - 1 else None
-        pairs = _candidates(members, sketches, similarity, best, part)
+
+    def joined(more: DataFrame) -> bool:
+        nonlocal members, links
+        if more.isEmpty():
+            return False
+        links = more if links is None else links.unionByName(more)
+        members = _relabel(members, links)
+        return True
+
+    for p in range(PASSES):
+        part = p if p < PASSES - 1 else None
+        pairs = _candidates(members, sketches, similarity, best=True, part=part)
         pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        joined = False
         if not pairs.isEmpty():
             tested = pairs if tested is None else tested.unionByName(pairs)
             x = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
             x = x.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-            sure = staged(x.select("u", "v", "tu", "tv").mapInArrow(_confirm(words, similarity), "u bigint, v bigint"), "confirmed")
-            joined = not sure.isEmpty()
-        if joined:
-            links = sure if links is None else links.unionByName(sure)
-            members = _relabel(members, links)
-        if not best:
-            break
-        passes += 1
-        best = (joined or part is not None) and passes < PASSES
+            joined(staged(x.select("u", "v", "tu", "tv").mapInArrow(_confirm(words, similarity), "u bigint, v bigint"), "confirmed"))
+    joined(_rest(members, sketches, texts, words, similarity))
     found = members.select("id", "component").distinct().alias("f")
     c = classes.alias("c")
     labelled = staged(

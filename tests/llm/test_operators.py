@@ -99,6 +99,38 @@ def test_near_copies_by_brute_force(spark):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+def test_a_group_just_below_the_bound_hands_on_no_pairs(spark, monkeypatch):
+    r, n = random.Random(9), 800
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for i in range(n):  # most pairs share (396 - 50) of (396 + 50) shingles: 0.776
+        words = list(base)
+        for k, at in enumerate(r.sample(range(0, 400, 5), 5)):
+            words[at + 2] = f"n{i}x{k}"
+        texts.append(" ".join(words))
+    texts += [texts[17] + " one more", texts[400].replace("w0 ", "") + " tail"]
+    handed = {}
+    plain = near_dedup.staged
+
+    def counting(df, name):
+        out = plain(df, name)
+        handed[name] = max(out.count(), handed.get(name, 0))
+        return out
+
+    monkeypatch.setattr(near_dedup, "staged", counting)
+    got = {x.doc_id: x.component_id for x in near_dedup.near_duplicates(spark.createDataFrame(rows(*texts), DOCS)).collect()}
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            shared = len(x & y)
+            if root[i] != root[j] and 100 * shared >= 80 * (len(x) + len(y) - shared):
+                a, b = sorted((root[i], root[j]))
+                root = [a if c == b else c for c in root]
+    assert got == dict(enumerate(root)) and len(set(root)) < n
+    assert handed["pairs"] <= near_dedup.BANDS * n and handed["open-classes"] <= near_dedup.BANDS * n and handed.get("rest-links", 0) <= n
+
+
 def test_star_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)]

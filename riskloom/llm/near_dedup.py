@@ -9,21 +9,21 @@
    block, and only pairs of different components whose signatures agree well enough are
    handed on (a pair at 0.8 falls short with a probability of 3e-6). Those are confirmed on
    the full shingle sets of their texts.
-4. Not all pairs of a group are confirmed. In each pass a class brings its most promising
-   partner per pair of blocks; confirmed links are contracted to components, and what lies in
-   one component is not looked at again. The first passes look at one of ``PARTS`` of the
-   buckets each, the last of ``PASSES`` at all of them. Classes that still have a promising
-   partner in another component then bring their full shingle sets into the buckets: blocks of
-   ``BLOCK_BYTES`` meet block by block, every pair of components is compared in full by an
-   index of the shingles, and a spanning forest of the links is handed on, so that what leaves
-   a task stays below its rows even where a large group is all but alike.
+4. Not all pairs of a group are confirmed. First a class brings its most promising partner per
+   pair of blocks; confirmed links are contracted to components, and what lies in one component
+   is not looked at again. Classes that still have a promising partner in another component then
+   bring their full shingle sets into the buckets: blocks of ``BLOCK_BYTES`` meet block by block,
+   every pair of components is compared in full by an index of the shingles, and a spanning
+   forest of the links is handed on, so that what leaves a task stays below its rows even where
+   a large group is all but alike.
 5. Components come from alternating large-star and small-star steps on the edges.
 
 Defined cases: a null text or one without words has no shingles, is linked with nothing and
 is kept; a text with fewer words than a shingle is one shingle of all of them; a null doc_id
 takes no part, has a null component and is kept; rows that share a doc_id but not the text
 are documents of their own, in the order of the text's SHA-256; rows that share both are one,
-returned by ``near_duplicates`` as often as they come; an empty table gives an empty result.
+returned by ``near_duplicates`` as often as they come; an empty table gives an empty result;
+other columns are ignored, or kept by ``drop_near_copies``, but names that begin with ``__llm_`` are taken.
 """
 
 from __future__ import annotations
@@ -41,9 +41,7 @@ from riskloom.llm.shingles import minima, mix, shingle_sets, slices
 BANDS, ROWS = 28, 4
 SLACK = 0.17  # signature agreement may lie this far below the similarity
 BLOCK = 1024
-PASSES = 3
 BLOCK_BYTES = 2 << 20  # of the sets of one block
-PARTS = 8  # of the buckets, the passes before the last of PASSES look at one part each
 
 
 def _signatures(words: int):
@@ -176,13 +174,8 @@ def _promising(similarity: int, best: bool):
     return run
 
 
-def _candidates(members: DataFrame, sketches: DataFrame, similarity: int, best: bool, part: int | None = None) -> DataFrame:
-    """u, v: pairs of classes of different components that may be alike; or key, id of such classes.
-
-    ``part``: only buckets whose key falls into that one of ``PARTS``.
-    """
-    if part is not None:
-        members = members.where(F.pmod(F.xxhash64("key"), F.lit(PARTS)) == part)
+def _candidates(members: DataFrame, sketches: DataFrame, similarity: int, best: bool) -> DataFrame:
+    """u, v: pairs of classes of different components that may be alike; or key, id of such classes."""
     sizes = members.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     mixed = sizes.where("lo <> hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks"))
     rows = members.join(mixed, "key").join(sketches, "id")
@@ -292,25 +285,19 @@ def _components(docs: DataFrame, words: int, similarity: int) -> tuple[DataFrame
     texts = d.join(wanted, F.col("d.id") == F.col("w.id"), "left_semi")
     texts = staged(texts.dropDuplicates(["id"]), "candidate-texts")
     sketches = classes.select("id", "sketch", "bands")
-    tested = links = None
+    links = None
 
-    def joined(more: DataFrame) -> bool:
+    def joined(more: DataFrame) -> None:
         nonlocal members, links
-        if more.isEmpty():
-            return False
-        links = more if links is None else links.unionByName(more)
-        members = _relabel(members, links)
-        return True
-
-    for p in range(PASSES):
-        part = p if p < PASSES - 1 else None
-        pairs = _candidates(members, sketches, similarity, best=True, part=part)
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            x = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
-            x = x.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
-            joined(staged(x.select("u", "v", "tu", "tv").mapInArrow(_confirm(words, similarity), "u bigint, v bigint"), "confirmed"))
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            members = _relabel(members, links)
+
+    pairs = staged(_candidates(members, sketches, similarity, best=True), "pairs")
+    if not pairs.isEmpty():
+        x = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("tv")), "v")
+        x = x.join(texts.select(F.col("id").alias("u"), F.col("text").alias("tu")), "u")
+        joined(staged(x.select("u", "v", "tu", "tv").mapInArrow(_confirm(words, similarity), "u bigint, v bigint"), "confirmed"))
     joined(_rest(members, sketches, texts, words, similarity))
     found = members.select("id", "component").distinct().alias("f")
     c = classes.alias("c")

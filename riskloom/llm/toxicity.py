@@ -13,7 +13,8 @@ Defined cases: a null text counts as empty and is scored like one; rows without
 whose doc_id is null, are not learned from; without any row of both labels every score is
 the share of label 1 among the rows learned from (0 without rows); repeated rows are scored
 as often as they come; an empty table gives an empty result; a doc_id with several labels is
-learned from with each of them.
+learned from with each of them; other columns are ignored, or kept by ``drop_toxic``, but names
+that begin with ``__llm_`` are taken.
 """
 
 from __future__ import annotations
@@ -43,7 +44,8 @@ PARTS, CALIBRATE = 5, 2
 HELD_OUT = 2
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!*#]+[^\W\d_]+)+")
+# from the first letter of a run only, so that unbroken text takes linear time
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[0-9@$!*#]+[^\W\d_]+)+")
 _SHOUTED = re.compile(r"\b[A-Z]{3,}\b")
 _PLAIN = str.maketrans("013457@$!#*", "oieastasihu")
 # Second-person words of the four languages: fixed values.
@@ -62,6 +64,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == HELD_OUT, F.lit(False))
 
 
+def _nearest(places: np.ndarray, others: np.ndarray) -> list[int]:
+    """How far the nearest of the others, which ascend, is from each place."""
+    after = np.searchsorted(others, places)
+    right = np.abs(others[np.minimum(after, len(others) - 1)] - places)
+    return np.minimum(right, np.abs(others[np.maximum(after - 1, 0)] - places)).tolist()
+
+
 def features(text: str, lexicon: dict[str, float]) -> list[float]:
     lower = text.lower()
     words = _TOKEN.findall(lower)
@@ -69,7 +78,7 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     hits = [(i, lexicon[w]) for i, w in enumerate(words) if w in lexicon]
     strong = [i for i, x in hits if x >= STRONG]
     you = [i for i, w in enumerate(words) if w in YOU] if strong else []
-    gaps = [int(np.min(np.abs(np.array(you) - i))) for i in strong] if you else []
+    gaps = _nearest(np.array(strong), np.array(you)) if you else []
     raw = text.encode("utf-8", "replace")
     seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     size = max(1, len(raw))

@@ -15,7 +15,7 @@ Defined cases: a text that is null or has no letter is ``und`` with score 0; so
 if nothing could be learned; ties go to the language first in order; a text shorter than a
 three-gram is padded by gaps; the score is the cosine, 0 if negative; rows with a null doc_id
 are predicted but not learned from; repeated rows are predicted as often as they come; an
-empty table gives an empty result.
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ DIMENSIONS = 1024
 TRAIN_ROWS = 10_000
 HELD_OUT = 2
 KNOWN_GRAMS = 60_000  # vectors a task remembers before it starts anew
+SLICE = 4096  # grams of a text bundled at a time
 
 
 @cache
@@ -74,6 +75,10 @@ class GramVectors:
         self.used = 0
 
     def bundle(self, packed: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        parts = [self._bundle(packed[i : i + SLICE], counts[i : i + SLICE]) for i in range(0, len(packed), SLICE)]
+        return np.sum(parts, axis=0) if len(parts) > 1 else parts[0]
+
+    def _bundle(self, packed: np.ndarray, counts: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.known, packed)
         here = at < len(self.known)
         here[here] = self.known[at[here]] == packed[here]

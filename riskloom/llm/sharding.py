@@ -4,7 +4,8 @@ A group is all documents with the same text; it is never split. Groups sorted by
 the bin whose remaining capacity is the tightest that still holds them, found in a balanced
 tree of (remaining, bin). A group that fits nowhere enters the emptiest bin.
 
-Groups above ``1 / (shards * HEAVY)`` of all bytes are fewer than ``shards * HEAVY``; they are
+A group above an equal share of all bytes has a bin to itself, and the other bins share what
+is left. Groups above ``1 / (shards * HEAVY)`` of all bytes are fewer than ``shards * HEAVY``; they are
 packed first, in one task of that proven size. The rest is dealt by hash into cells of about
 ``CELL`` groups. Every cell packs its groups into its share of what the bins have left, in
 parallel. A cell is off by at most one of its groups, each below the bound above.
@@ -89,6 +90,19 @@ def best_fit_decreasing(weights: list[int], remaining: list[int]) -> list[int]:
     return out
 
 
+def capacities(largest: list[int], total: int, shards: int) -> list[int]:
+    """Equal capacities, but for groups above an equal share: each has a bin of its own size, and the others share the rest.
+
+    ``largest`` has the largest weights, in falling order, as many as there are shards.
+    """
+    own: list[int] = []
+    for w in largest:
+        if len(own) + 1 >= shards or w * (shards - len(own)) <= total - sum(own):
+            break
+        own.append(w)
+    return own + [max(1, -(-(total - sum(own)) // (shards - len(own))))] * (shards - len(own))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     return docs.select(
@@ -102,7 +116,11 @@ def sized(docs: DataFrame) -> DataFrame:
 def pack_groups(groups: DataFrame, shards: int, capacity: int | None = None) -> DataFrame:
     """digest, weight, shard for each of the groups (digest, weight)."""
     total, n = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).first()
-    capacity = capacity or max(1, -(-total // shards))
+    if capacity is None:
+        largest = [r[0] for r in groups.select("weight").orderBy(F.desc("weight")).limit(shards).collect()]
+        bins = capacities(largest, total, shards)
+    else:
+        bins = [capacity] * shards
     heavy = F.col("weight") * (shards * HEAVY) > total
     out = "digest binary, weight bigint, shard int"
 
@@ -116,11 +134,11 @@ def pack_groups(groups: DataFrame, shards: int, capacity: int | None = None) ->
         return pack
 
     large = staged(
-        groups.where(heavy).select("digest", "weight", F.lit(0).alias("cell")).groupBy("cell").applyInPandas(packer(lambda _: [capacity] * shards), out),
+        groups.where(heavy).select("digest", "weight", F.lit(0).alias("cell")).groupBy("cell").applyInPandas(packer(lambda _: list(bins)), out),
         "packed-heavy",
     )
     used = dict(large.groupBy("shard").agg(F.sum("weight")).collect())
-    left = [max(0, capacity - used.get(b, 0)) for b in range(shards)]
+    left = [max(0, space - used.get(b, 0)) for b, space in enumerate(bins)]
     room = max(1, sum(left))
     # each cell gets as much of every bin's room as it has of the remaining bytes
     cells = max(1, math.ceil(n / CELL))

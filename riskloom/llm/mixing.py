@@ -12,7 +12,8 @@ the whole order, so a source that holds a third of all rows is spread over many
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order;
 a source without words has target 0 and takes nothing; repeated rows are sampled one by one;
-an empty table gives an empty result. The offset is derived from the seed and the source's
+an empty table gives an empty result; other columns are ignored, or kept by ``mixed_documents``, but
+names that begin with ``__llm_`` are taken. The offset is derived from the seed and the source's
 name, so reruns agree.
 """
 

@@ -17,7 +17,8 @@ k + 1 codes per query only, none beyond the distance that is already certain.
 Defined cases: a null vector, or one with a null element, is neither indexed nor a query;
 ties in distance go to the smaller identifier; a query never finds its own identifier but
 does find copies; fewer than k other rows give fewer results; repeated rows of the same
-identifier are one; an empty table gives an empty result. Vectors of over 64 elements are
+identifier are one; an empty table gives an empty result; other columns are ignored, whatever
+their names. Vectors of over 64 elements are
 folded onto 64 signed sums.
 """
 

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import time
 from collections import defaultdict
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.ml.linalg import Vectors
 from tokenizers import Tokenizer
 
 from riskloom.llm import bpe, bwt, chat, exact_dedup, langid, mixing, near_dedup, repeats, sharding, topk_hash, toxicity
@@ -364,3 +368,94 @@ def test_queries_against_sql(spark):
     for name, (run, sql) in QUERIES.items():
         if sql is not None:
             assert compare(run(spark, SMALL), duck, sql) == [], name
+
+
+# --- op1 and op5 by plain recomputation -------------------------------------------------
+def test_languages_by_a_plain_version(spark):
+    r = random.Random(21)
+    alphabets = {"xa": "abcde ", "xb": "defgh ", "xc": "ghéçñ "}
+    texts = [(i, "".join(r.choice(alphabets[k]) for _ in range(r.randrange(0, 60))), k, "s", 1) for i, k in enumerate(r.choices(list(alphabets), k=50))]
+    texts[3] = (3, "123 !", "xa", "s", 1)
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long")
+
+    def vector(text):
+        grams, letters = defaultdict(int), "".join(c if c.isalpha() else " " for c in text.lower())
+        if not letters.strip():
+            return None
+        spaced = " " + letters + " "
+        spaced = "".join(c for i, c in enumerate(spaced) if i == 0 or c != " " or spaced[i - 1] != " ")
+        for i in range(len(spaced) - 2):
+            grams[spaced[i : i + 3]] += 1
+        out = np.zeros(langid.DIMENSIONS)
+        for gram, n in grams.items():
+            a, b, c = (langid.letter_vector(0 if x == " " else ord(x)) for x in gram)
+            out += n * np.roll(a, 2) * np.roll(b, 1) * c
+        return out
+
+    sums = {}
+    for i, text, lang, *_ in texts:
+        if crc32(str(i).encode()) % 4 != 2 and (v := vector(text)) is not None:
+            sums[lang] = sums.get(lang, 0) + v / max(1e-9, np.linalg.norm(v))
+    for row in langid.identify(docs).collect():
+        v = vector(texts[row.doc_id][1])
+        assert row.held_out == (crc32(str(row.doc_id).encode()) % 4 == 2)
+        if v is None:
+            assert (row.lang_pred, row.score) == ("und", 0.0)
+            continue
+        cosines = {k: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) if v.any() else 0.0 for k, p in sorted(sums.items())}
+        best = max(cosines, key=cosines.get)
+        assert row.score == pytest.approx(max(0.0, cosines[best]), abs=1e-4)
+        assert row.lang_pred == best or cosines[best] - cosines[row.lang_pred] < 1e-4
+
+
+def test_long_varied_text_is_bundled_in_slices(monkeypatch):
+    r = random.Random(22)
+    packed, counts = langid.grams("".join(chr(0x4E00 + r.randrange(3000)) for _ in range(3000)))
+    whole = langid.GramVectors().bundle(packed, counts)
+    monkeypatch.setattr(langid, "SLICE", 100)
+    monkeypatch.setattr(langid, "KNOWN_GRAMS", 500)
+    vectors = langid.GramVectors()
+    assert np.allclose(vectors.bundle(packed, counts), whole) and len(vectors.vectors) <= 1024
+
+
+def test_toxicity_by_recomputation(spark, labels):
+    r = random.Random(23)
+    bad, mild = ["vile", "rotten", "wretch"], ["calm", "tree", "river", "stone", "you", "YOUR"]
+    texts = [" ".join(r.choices(mild + (bad * 3 if i % 3 == 0 else []), k=r.randrange(1, 40))) + r.choice(["", "!!", " v1le", "?"]) for i in range(120)]
+    docs = spark.createDataFrame(rows(*texts), DOCS)
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    trees, weights = model.trees.trees, model.trees.treeWeights
+    edges, levels = model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()
+    for row in toxicity.toxicity(docs, marks).collect():
+        x = Vectors.dense(toxicity.features(texts[row.doc_id], model.lexicon))
+        margin = sum(w * t.predict(x) for t, w in zip(trees, weights, strict=True))
+        want = min(1.0, max(0.0, float(np.interp(1 / (1 + math.exp(-2 * margin)), edges, levels))))
+        assert row.score == pytest.approx(want, abs=1e-9) and row.predicted == int(want >= 0.3)
+
+
+@pytest.mark.parametrize("text", ["a" * 1_000_000, "A" * 1_000_000, "a1" * 500_000, "vile you " * 100_000, "1" * 1_000_000, "é@" * 400_000])
+def test_toxicity_of_a_megabyte_takes_linear_time(text):
+    start = time.perf_counter()
+    toxicity.features(text, {"vile": 5.0})
+    assert time.perf_counter() - start < 3
+
+
+def test_nearest_by_brute_force():
+    r = random.Random(24)
+    for _ in range(100):
+        a, b = (sorted(r.sample(range(60), r.randrange(1, 12))) for _ in range(2))
+        assert toxicity._nearest(np.array(a), np.array(b)) == [min(abs(x - y) for y in b) for x in a]
+
+
+def test_shards_beside_a_group_above_an_equal_share(spark):
+    texts = ["x" * 300_000, *("y" * (900 + i % 500) + str(i) for i in range(700))]
+    got = sharding.shard_documents(spark.createDataFrame(rows(*texts), DOCS), 8).groupBy("shard").sum("size").collect()
+    sizes = sorted(x[1] for x in got)
+    assert len(sizes) == 8 and sizes[-1] == 300_001 and sizes[-2] - sizes[0] < 0.02 * sizes[0]
+
+
+def test_capacities():
+    assert sharding.capacities([50, 30, 10], 100, 3) == [50, 30, 20]
+    assert sharding.capacities([10, 10, 10], 30, 3) == [10, 10, 10]
+    assert sharding.capacities([100], 100, 1) == [100] and sharding.capacities([], 0, 2) == [1, 1]

@@ -196,6 +196,17 @@ REQUEST_RANGES = {
     "open_acc": (0.0, None),
     "pub_rec": (0.0, None),
 }
+LGD_REQUEST_RANGES = {"loan_amnt": (0.0, None), "collateral_value": (0.0, None), "recoveries": (0.0, None)}
+EAD_REQUEST_RANGES = {"credit_limit": (0.0, None), "committed_amount": (0.0, None), "drawn_amount": (0.0, None)}
+# What a request that lacks a field is scored with.
+REQUEST_DEFAULTS = {
+    "pd": {
+        **PD_REQUEST_DEFAULTS, "purpose": "debt_consolidation", "home_ownership": "MORTGAGE", "open_acc": 8.0,
+        "revol_util": 30.0, "pub_rec": 0.0, "term_months": 36,
+    },
+    "lgd": {"loan_amnt": 10000.0, "collateral_value": 0.0, "recoveries": 0.0, "home_ownership": "MORTGAGE", "credit_type": "unsecured"},
+    "ead": {"credit_limit": 20000.0, "committed_amount": 10000.0, "drawn_amount": 5000.0, "product_type": "revolving"},
+}
 
 # sensitivity lines: (intercept, slope)
 LGD_COLLATERAL_LINES = {"mortgage": (0.45, -0.30), "rent": (0.55, -0.30)}

@@ -47,15 +47,24 @@ def pd_column(variant: str = "service", **given: Column) -> Column:
     return S.pd_service(*shared, arg("revol_util"), arg("purpose"), arg("home_ownership"))
 
 
+def with_defaults(requests: DataFrame, kind: str) -> DataFrame:
+    """Requests of a model (pd, lgd or ead) in which absent and empty fields have their defaults."""
+    given = set(requests.columns)
+    return requests.withColumns(
+        {n: F.coalesce(F.col(n), F.lit(v)) if n in given else F.lit(v) for n, v in K.REQUEST_DEFAULTS[kind].items()}
+    )
+
+
 def score_pd(requests: DataFrame, variant: str = "service", key: str = "loan_id") -> DataFrame:
-    with_pd = requests.withColumn("_pd", pd_column(variant))
+    with_pd = with_defaults(requests, "pd").withColumn("_pd", pd_column(variant))
     outputs = S.pd_outputs("_pd", "loan_amnt", variant)
     return with_pd.select(key, *(c.alias(name) for name, c in outputs.items()))
 
 
 def score_lgd(requests: DataFrame, variant: str = "service", key: str = "loan_id") -> DataFrame:
-    """Needs loan_amnt, collateral_value, recoveries, home_ownership and, for the service
-    variant, credit_type."""
+    """Reads loan_amnt, collateral_value, recoveries, home_ownership and, for the service
+    variant, credit_type; absent ones have their defaults."""
+    requests = with_defaults(requests, "lgd")
     inputs = ("loan_amnt", "collateral_value", "recoveries", "home_ownership")
     lgd = S.lgd_basic(*inputs) if variant == "basic" else S.lgd_service(*inputs, "credit_type")
     outputs = S.lgd_outputs("_lgd", "loan_amnt", variant)
@@ -63,8 +72,9 @@ def score_lgd(requests: DataFrame, variant: str = "service", key: str = "loan_id
 
 
 def score_ead(requests: DataFrame, variant: str = "service", key: str = "loan_id") -> DataFrame:
-    """Needs credit_limit, committed_amount, drawn_amount and, for the service variant,
-    product_type."""
+    """Reads credit_limit, committed_amount, drawn_amount and, for the service variant,
+    product_type; absent ones have their defaults."""
+    requests = with_defaults(requests, "ead")
     inputs = ("credit_limit", "committed_amount", "drawn_amount")
     product = None if variant == "basic" else "product_type"
     outputs = S.ead_outputs(*inputs, product)

@@ -19,10 +19,11 @@ from riskloom.operators import training as T
 from riskloom.operators import validation as V
 from riskloom.operators.loading import append_projection, stratified_folds
 from riskloom.plans.base_sql import on_loans
-from riskloom.plans.book import loans
+from riskloom.plans.book import loans, metrics
 from riskloom.plans.metric_sql import measures
+from riskloom.plans.monitoring_queries import QUERIES as MONITORING
 from riskloom.plans.portfolio_queries import QUERIES as PORTFOLIO
-from riskloom.plans.scoring_queries import PD_RATINGS, POINTS, REQUESTS, SERVICE_PD, requests
+from riskloom.plans.scoring_queries import PD_RATINGS, POINTS, RANGE_SQL, REQUESTS, SERVICE_PD, requests
 from riskloom.plans.scoring_queries import QUERIES as SCORING
 from riskloom.plans.validation_queries import _FINAL, final_scored
 from riskloom.session import work_folder
@@ -200,9 +201,33 @@ def run_log(s, d) -> DataFrame:
 
 
 def job_ledger(s, d) -> DataFrame:
+    """Last state of a job, with the states it went through."""
     result, ledger = work_folder(s, "job-result"), work_folder(s, "job-ledger")
     sinks.run_batch_job(s, "whole book", "PD", requests(s, d), lambda x: S.score_batch(x, "loan_id"), result, ledger)
-    return s.read.parquet(ledger).select("job_name", "model_type", "status", "total_records", "processed", "error_message")
+    log = s.read.parquet(ledger)
+    states = log.groupBy(F.col("job_id").alias("_job")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("logged_at", "status"))), lambda x: x["status"]), ",").alias("states")
+    )
+    last = sinks.latest_jobs(log).join(states, F.col("job_id") == F.col("_job"))
+    return last.select("job_name", "model_type", "status", "states", "total_records", "processed", "error_message")
+
+
+def committed_batches(s, d) -> DataFrame:
+    """Loans appended in two batches, one of them twice, beside a batch that was not committed."""
+    path, book = work_folder(s, "committed"), loans(s, d)
+    for batch in (0, 1, 0):
+        sinks.append_batch(book.filter(F.year("issue_d") % 2 == batch), path, f"years-{batch}")
+    book.write.parquet(f"{path}/data/batch_id=died")
+    x = sinks.read_committed(s, path)
+    return x.groupBy("batch_id", F.year("issue_d").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.sum("loan_amnt").cast("double").alias("amount"))
+
+
+def metrics_table(s, d) -> DataFrame:
+    """The metrics of the load, appended to their table in two parts and read back."""
+    path = work_folder(s, "metrics-table")
+    for model in (F.col("model_type") == "PD", F.col("model_type") != "PD"):
+        sinks.append_metrics(metrics(s, d).filter(model), path)
+    return s.read.parquet(path).withColumn("metric_value", F.col("metric_value").cast("double"))
 
 
 def snapshot_table(s, d) -> DataFrame:
@@ -221,18 +246,33 @@ def _read_stream(s, d, name: str) -> DataFrame:
     return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet*").parquet(d)
 
 
-def stream_scoring(s, d) -> DataFrame:
-    """Orders arrive as a stream of applications and leave as predictions."""
+def _stream_applications(s, d) -> DataFrame:
+    """Orders arrive as a stream of applications."""
     raw = testbook.raw_from_tables(_read_stream(s, d, "orders"), testbook.table(s, d, "customer"), None)
     clean = Fe.derive_features(Fe.clean_fields(Fe.admissible_loans(raw)))
-    applications = S.applications(clean.withColumn("is_default", F.lit(None).cast("boolean")))
-    scored, _ = SS.score_stream(applications)
+    return S.applications(clean.withColumn("is_default", F.lit(None).cast("boolean")))
+
+
+def _streamed(s, applications: DataFrame) -> tuple[DataFrame, DataFrame]:
     path = work_folder(s, "stream-scores")
-    SS.start_append(scored, path, work_folder(s, "stream-scores-progress")).awaitTermination()
-    return s.read.schema(scored.schema).parquet(path).select(
-        "loan_ref", "model_type", F.col("prediction").cast("double").alias("prediction"),
-        F.col("score").cast("int").alias("score"), "rating",
-    )
+    SS.start_scoring(applications, path, work_folder(s, "stream-scores-progress")).awaitTermination()
+    scored, rejected = SS.read_scored(s, path)
+    return scored.select(
+        "loan_ref", "model_type", F.col("prediction").cast("double").alias("prediction"), F.col("score").cast("int").alias("score"), "rating"
+    ), rejected
+
+
+def stream_scoring(s, d) -> DataFrame:
+    """The stream's applications leave as predictions."""
+    return _streamed(s, _stream_applications(s, d))[0]
+
+
+def stream_quarantine(s, d) -> DataFrame:
+    """Both outcomes of a stream whose inputs were shocked: predictions, and what was rejected for which fields."""
+    shocked = _stream_applications(s, d).withColumns({"dti": F.col("dti") * 1.5, "fico_score": F.col("fico_score") + 10})
+    scored, rejected = _streamed(s, shocked)
+    scored = scored.select("loan_ref", "prediction", F.lit(None).cast("string").alias("violations"))
+    return scored.unionByName(rejected.select(F.col("loan_id").cast("string").alias("loan_ref"), F.lit(None).cast("double").alias("prediction"), "violations"))
 
 
 def _stream_windows(s, d) -> DataFrame:
@@ -305,9 +345,15 @@ QUERIES = {
     "run_log": (run_log, None),
     "job_ledger": (
         job_ledger,
-        on_loans("""SELECT 'whole book' AS job_name, 'PD' AS model_type, 'done' AS status, COUNT(*) AS total_records, COUNT(*) AS processed,
+        on_loans("""SELECT 'whole book' AS job_name, 'PD' AS model_type, 'done' AS status, 'pending,running,done' AS states, COUNT(*) AS total_records, COUNT(*) AS processed,
         CAST(NULL AS VARCHAR) AS error_message FROM loans"""),
     ),
+    "metrics_table": (metrics_table, MONITORING["model_metrics"][1]),
+    "append_committed": (
+        committed_batches,
+        on_loans("""SELECT 'years-' || (YEAR(issue_d) % 2) AS batch_id, CAST(YEAR(issue_d) AS INTEGER) AS year, COUNT(*) AS n, CAST(SUM(loan_amnt) AS DOUBLE) AS amount
+        FROM loans WHERE issue_d IS NOT NULL GROUP BY 1, 2"""),
+    ),
     "snapshot_table": (
         snapshot_table,
         on_loans("""SELECT '2024-01-31' AS snapshot_date, COUNT(DISTINCT grade) AS n, COUNT(*) AS loans, CAST(SUM(loan_amnt) AS DOUBLE) AS exposure FROM loans"""),
@@ -318,6 +364,14 @@ QUERIES = {
         SELECT CAST(loan_id AS VARCHAR) AS loan_ref, 'PD' AS model_type, ROUND(p, 6) AS prediction, {POINTS} AS score,
           {PD_RATINGS['service']} AS rating FROM pds"""),
     ),
+    "stream_quarantine": (
+        stream_quarantine,
+        on_loans(f"""{REQUESTS}, shocked AS (SELECT * REPLACE (dti * 1.5e0 AS dti, fico_score + 10 AS fico_score) FROM requests),
+        checked AS (SELECT *, CONCAT_WS(','{RANGE_SQL}) AS violations FROM shocked),
+        pds AS (SELECT loan_id, violations, {SERVICE_PD} AS p FROM checked)
+        SELECT CAST(loan_id AS VARCHAR) AS loan_ref, CASE WHEN violations = '' THEN ROUND(p, 6) END AS prediction,
+          NULLIF(violations, '') AS violations FROM pds"""),
+    ),
     "stream_monitor": (
         stream_monitor,
         f"""WITH days AS (SELECT DATE_TRUNC('day', ts) AS window_start, FLOOR(value / 50) * 50 AS band, COUNT(*) AS n,

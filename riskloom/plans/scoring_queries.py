@@ -103,6 +103,23 @@ def quarantine(s, d):
     return bad.select("loan_id", F.array_join("violations", ",").alias("violations"))
 
 
+def requests_with_gaps(s, d):
+    """Requests without two of the fields, and with gaps in two others."""
+    x = requests(s, d).drop("emp_length", "purpose")
+    k = F.col("loan_id")
+    return x.withColumns({"dti": F.when(k % 23 != 0, F.col("dti")), "fico_score": F.when(k % 19 != 0, F.col("fico_score"))})
+
+
+def quarantine_loss_requests(s, d):
+    """Rejected requests of the LGD and EAD models, after amounts are taken off."""
+    short = requests(s, d).withColumns({"collateral_value": F.col("annual_inc") - 60000, "drawn_amount": F.col("drawn_amount") - 5000})
+    out = []
+    for model, ranges in (("lgd", K.LGD_REQUEST_RANGES), ("ead", K.EAD_REQUEST_RANGES)):
+        _, bad = S.split_valid(short, ranges)
+        out.append(bad.select("loan_id", F.lit(model).alias("model"), F.array_join("violations", ",").alias("violations")))
+    return out[0].unionByName(out[1])
+
+
 _EAD_SERVICE = """parts AS (SELECT *, LEAST(drawn_amount, committed_amount) AS drawn FROM requests),
 factors AS (SELECT *, GREATEST(committed_amount - drawn, 0e0) AS undrawn, drawn / GREATEST(credit_limit, 1e0) AS u FROM parts),
 ccfs AS (SELECT *, LEAST(CASE product_type WHEN 'line' THEN 0.35e0 WHEN 'term' THEN 0.25e0 ELSE 0.4e0 END + u * 0.25e0, 1e0) AS c FROM factors)"""
@@ -126,7 +143,7 @@ _FACTOR_ROWS = " UNION ALL ".join(
     f"SELECT loan_id, '{n}' AS factor, {x} AS v, {_SIZE} AS total FROM requests" for n, x in _FACTORS.items()
 )
 
-_RANGES = " ".join(
+RANGE_SQL = " ".join(
     f", CASE WHEN {n} < {lo}" + (f" OR {n} > {hi}" if hi is not None else "") + f" THEN '{n}' END"
     for n, (lo, hi) in K.REQUEST_RANGES.items() if n not in ("open_acc", "pub_rec")
 )
@@ -293,9 +310,23 @@ QUERIES = {
     "input_quarantine": (
         quarantine,
         on_loans(f"""{REQUESTS}, shocked AS (SELECT * REPLACE (dti * 1.5e0 AS dti, fico_score + 10 AS fico_score) FROM requests),
-        checked AS (SELECT loan_id, CONCAT_WS(','{_RANGES}) AS violations FROM shocked)
+        checked AS (SELECT loan_id, CONCAT_WS(','{RANGE_SQL}) AS violations FROM shocked)
         SELECT * FROM checked WHERE violations <> ''"""),
     ),
+    "quarantine_lgd_ead": (
+        quarantine_loss_requests,
+        on_loans(f"""{REQUESTS}, short AS (SELECT * REPLACE (annual_inc - 60000 AS collateral_value, drawn_amount - 5000 AS drawn_amount) FROM requests)
+        SELECT loan_id, 'lgd' AS model, 'collateral_value' AS violations FROM short WHERE collateral_value < 0
+        UNION ALL SELECT loan_id, 'ead', 'drawn_amount' FROM short WHERE drawn_amount < 0"""),
+    ),
+    "pd_requests_with_gaps": (
+        lambda s, d: S.score_pd(requests_with_gaps(s, d)),
+        on_loans(f"""{REQUESTS}, filled AS (SELECT * REPLACE (5e0 AS emp_length, 'debt_consolidation' AS purpose,
+          CASE WHEN loan_id % 23 = 0 THEN 15e0 ELSE dti END AS dti, CASE WHEN loan_id % 19 = 0 THEN 700e0 ELSE fico_score END AS fico_score) FROM requests),
+        pds AS (SELECT loan_id, loan_amnt, {SERVICE_PD} AS p FROM filled)
+        SELECT loan_id, ROUND(p, 6) AS pd, ROUND(p * 100, 4) AS pd_pct, {POINTS} AS score, {PD_RATINGS['service']} AS rating,
+          {RISK} AS risk_label, {money('loan_amnt * p * 0.45e0')} AS expected_loss FROM pds"""),
+    ),
     "scorecard_points": (
         lambda s, d: B.with_scorecard_points(scored(s, d), "score").select("loan_id", "scorecard_points"),
         on_loans(f"""{SCORED} SELECT loan_id,

@@ -63,7 +63,7 @@ FEATURE_WOE = """
 """
 
 BATCH_JOBS = """
-    job_name string, model_type string, status string, total_records long,
+    job_id string, job_name string, model_type string, status string, total_records long,
     processed long, result_file string, error_message string,
-    created_at timestamp, completed_at timestamp
+    created_at timestamp, logged_at timestamp, completed_at timestamp
 """

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.functions.columns import banded, number_sql
 from riskloom.operators import loading as L
@@ -104,3 +106,94 @@ def test_narrowest_types(spark):
     path = write_text(spark, "types-csv", lines)
     got = {r["column"]: r["type"] for r in readers.inferred_types(spark, path).collect()}
     assert got == {"a": "int", "b": "double", "c": "date", "d": "text", "e": "null", "f": "date", "g": "int"}
+
+
+# --- writers that survive a death in between ----------------------------------------
+class Died(BaseException):
+    """What a killed driver looks like from inside: nothing catches it."""
+
+
+def die(*_, **__):
+    raise Died
+
+
+def test_a_dead_job_stays_running(spark):
+    ledger, result = work_folder(spark, "ledger"), work_folder(spark, "result")
+    requests = spark.range(5).withColumnRenamed("id", "loan_id")
+    with pytest.raises(Died):
+        sinks.run_batch_job(spark, "dies", "PD", requests, die, result, ledger)
+    with pytest.raises(ZeroDivisionError):
+        sinks.run_batch_job(spark, "fails", "PD", requests, lambda _: 1 / 0, result, ledger)
+    sinks.run_batch_job(spark, "ends", "PD", requests, lambda x: x, result, ledger)
+    last = {r.job_name: (r.status, r.processed) for r in sinks.latest_jobs(spark.read.parquet(ledger)).collect()}
+    assert last == {"dies": ("running", None), "fails": ("error", None), "ends": ("done", 5)}
+
+
+def test_a_batch_is_appended_once_and_only_whole(spark, monkeypatch):
+    path = work_folder(spark, "commits")
+    batch = spark.range(7).withColumnRenamed("id", "loan_id")
+    with pytest.raises(ValueError, match="no batch"):
+        sinks.read_committed(spark, path)
+    assert sinks.append_batch(batch, path, "a") and not sinks.append_batch(batch, path, "a")
+    with monkeypatch.context() as m:  # the writer dies between the files and the record
+        m.setattr(sinks.datetime, "datetime", type("Clock", (), {"now": staticmethod(die)}))
+        with pytest.raises(Died):
+            sinks.append_batch(batch.filter("loan_id < 3"), path, "b")
+    assert sinks.read_committed(spark, path).count() == 7
+    assert sinks.append_batch(batch.filter("loan_id < 2"), path, "b")
+    assert sorted((r.batch_id, r.loan_id) for r in sinks.read_committed(spark, path).collect()) == [("a", i) for i in range(7)] + [("b", 0), ("b", 1)]
+    assert sinks.append_batch(batch.filter("loan_id < 0"), path, "empty") and sinks.read_committed(spark, path).count() == 9
+
+
+def test_a_stream_restarted_in_a_batch_loses_and_doubles_nothing(spark, monkeypatch):
+    from pyspark.errors import StreamingQueryException
+
+    from riskloom.operators import scoring as S
+    from riskloom.streaming import scoring as SS
+
+    source, path, progress = (work_folder(spark, x) for x in ("apps", "scored", "progress"))
+    schema = "loan_id bigint, ts timestamp, fico_score double, dti double, int_rate double, annual_inc double, emp_length double, revol_util double, purpose string, home_ownership string, loan_amnt double"
+
+    def arrive(ids):
+        at = datetime.datetime(2024, 1, 1)
+        rows = [(i, at, 400.0 if i % 5 == 0 else 700.0, 60.0 if i % 10 == 0 else 15.0, 12.0, 6e4, 5.0, 30.0, "other", "RENT", 1e4) for i in ids]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        apps = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        SS.start_scoring(apps, path, progress, dedupe_within="1 hour").awaitTermination()
+
+    arrive(range(20))
+    run()
+    arrive([3, 3, *range(15, 30)])  # some again, within the hour
+    split, calls = SS.score_stream, []
+
+    def dies_after_the_predictions(batch, **options):
+        scored, rejected = split(batch, **options)
+        calls.append(1)
+        return scored, rejected.select("loan_id", F.raise_error(F.lit("died")).cast("string").alias("violations"))
+
+    with monkeypatch.context() as m:
+        m.setattr(SS, "score_stream", dies_after_the_predictions)
+        with pytest.raises(StreamingQueryException):
+            run()
+    assert calls
+    run()
+    scored, rejected = SS.read_scored(spark, path)
+    assert sorted(int(r.loan_ref) for r in scored.collect()) == [i for i in range(30) if i % 5]
+    assert sorted((r.loan_id, r.violations) for r in rejected.collect()) == [(i, "fico_score,dti" if i % 10 == 0 else "fico_score") for i in range(0, 30, 5)]
+
+
+def test_stability_against_a_reference_of_any_width(spark):
+    from riskloom.streaming import monitoring as M
+
+    day = datetime.datetime(2024, 1, 1)
+    windows = spark.createDataFrame([(day, float(b), 1 + b % 3) for b in range(0, 4000, 2)] + [(day, -7.0, 5)], "window_start timestamp, band double, n long")
+    expected = spark.range(3000).select(F.col("id").cast("double").alias("band"), F.lit(1 / 3000).alias("share"))
+    row = M.window_stability(windows, expected).first()
+    size = 5 + sum(1 + b % 3 for b in range(0, 4000, 2))
+    want = 0.0
+    for b in range(3000):
+        a, e = max((1 + b % 3) / size if b % 2 == 0 else 0.0, 1e-8), 1 / 3000
+        want += (a - e) * math.log(a / e)
+    assert row["n"] == size and row["psi"] == pytest.approx(want, abs=2e-6)

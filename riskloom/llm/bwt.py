@@ -9,8 +9,8 @@ Merging sorts no suffixes again. The interleave of all shards starts with all su
 one block; a round reads the transforms in the present interleave and deals it out stably by
 the byte read, which orders the suffixes by one more byte and splits the blocks whose bytes
 differ. The round in which two neighbours part is the length of their common prefix. Blocks
-whose rows come from one shard are settled by that shard's own order and leave the rounds;
-what is left after ``depth`` rounds are the repeated intervals that span shards.
+whose rows come from one shard are settled by that shard's own order and leave the rounds; rows
+with fewer than ``depth`` bytes before them in their string do not enter them; what is left after ``depth`` rounds are the repeated intervals that span shards.
 """
 
 from __future__ import annotations
@@ -42,17 +42,24 @@ def _sorted_suffixes(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarr
     known = min(8, depth)
     for i in range(known):
         key = (key << np.uint64(8)) | wide[i : i + n].astype(np.uint64)
-    while True:
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        opens = np.r_[True, ordered[1:] != ordered[:-1]]
-        if known >= depth:
-            return order.astype(np.int32), opens
+    order = np.argsort(key, kind="stable")
+    opens = np.r_[True, key[order][1:] != key[order][:-1]]
+    place, small = np.arange(n, dtype=np.uint64), np.uint64(21)
+    while known < depth:
         rank = np.empty(n, np.uint64)
-        rank[order] = np.cumsum(opens)
+        rank[order] = np.cumsum(opens) - 1
         reach = min(known, depth - known)
-        key = (rank << np.uint64(32)) | np.roll(rank, -reach)
+        ahead = np.roll(rank, -reach)
         known += reach
+        if n <= 1 << 21:  # both ranks and the place in one number: sorted at once, and in order of place
+            whole = np.sort((rank << np.uint64(42)) | (ahead << small) | place)
+            order, key = (whole & np.uint64((1 << 21) - 1)).astype(np.int64), whole >> small
+        else:
+            key = (rank << np.uint64(32)) | ahead
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        opens = np.r_[True, key[1:] != key[:-1]]
+    return order.astype(np.int32), opens
 
 
 def repeated(strings: list[bytes], depth: int, shard: int = SHARD) -> list[np.ndarray]:
@@ -81,7 +88,8 @@ def repeated(strings: list[bytes], depth: int, shard: int = SHARD) -> list[np.nd
         # equal suffixes stand in the order of their positions
         later[start + s.order[~s.first]] = True
     if len(shards) > 1:
-        rows, blocks, places = merge(shards, starts, depth)
+        deep = np.concatenate([np.arange(len(s) + 1) >= depth for s in strings])
+        rows, blocks, places = merge(shards, starts, depth, deep)
         opens = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else []
         if len(opens):
             where = places[rows]
@@ -94,31 +102,41 @@ def repeated(strings: list[bytes], depth: int, shard: int = SHARD) -> list[np.nd
     return out
 
 
-def merge(shards: list[Shard], starts: list[int], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def merge(shards: list[Shard], starts: list[int], depth: int, deep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The interleave after ``depth`` rounds, where shards still share blocks.
 
+    ``deep`` tells of each place whether ``depth`` bytes of its string stand before it.
+
     Rows (numbers in the joined transforms) in merged order, the block of each, and the
     place in the joined text of every row.
     """
     text = np.concatenate([s.bytes for s in shards])
     step = np.concatenate([s.step + np.int32(a) for s, a in zip(shards, starts, strict=True)])
+    # byte and step in one number, so that a round looks up each row once
+    kind, wide = (np.uint32, 24) if len(text) < 1 << 24 else (np.uint64, 32)
+    look = (text.astype(kind) << kind(wide)) | step.astype(kind)
     places = np.concatenate([s.order + np.int32(a) for s, a in zip(shards, starts, strict=True)])
     owner = np.repeat(np.arange(len(shards), dtype=np.int16), [len(s.bytes) for s in shards])
-    rows = np.arange(len(text), dtype=np.int32)
-    blocks = np.zeros(len(text), np.int32)
-    for _ in range(depth):
-        read = text[rows]
+    rows = np.flatnonzero(deep[places])
+    blocks = np.zeros(len(rows), np.int32)
+    known = 1
+    for _ in range(depth if len(rows) else 0):
+        found = look[rows]
+        read = (found >> kind(wide)).astype(np.uint8)
         order = np.argsort(read, kind="stable")
         read, blocks = read[order], blocks[order]
-        rows = step[rows[order]]
+        rows = (found & kind((1 << wide) - 1))[order]
         opens = np.r_[True, (read[1:] != read[:-1]) | (blocks[1:] != blocks[:-1])]
         at = np.flatnonzero(opens)
+        if len(at) == known:  # no block was split, so none became one shard's own
+            blocks = np.cumsum(opens, dtype=np.int32) - np.int32(1)
+            continue
         mine = owner[rows]
         shared = np.minimum.reduceat(mine, at) != np.maximum.reduceat(mine, at)
         counts = np.diff(np.r_[at, len(rows)])
-        keep = np.repeat(shared, counts)
-        rows = rows[keep]
-        blocks = np.repeat(np.arange(int(shared.sum()), dtype=np.int32), counts[shared])
+        rows = rows[np.repeat(shared, counts)]
+        known = int(shared.sum())
+        blocks = np.repeat(np.arange(known, dtype=np.int32), counts[shared])
         if not len(rows):
             break
     return rows, blocks, places

@@ -284,3 +284,4 @@ THRESHOLDS = (
 )
 
 SAVED_METRIC_DEFAULTS = {"gini": 0.4105, "ks": 0.2982, "auc_roc": 0.7052, "brier_score": 0.2146}
+SAVED_ERROR_DEFAULTS = {"LGD": {"r2": 0.0079, "rmse": 0.0717, "mae": 0.0355}, "EAD": {"r2": 1.0, "rmse": 35.17}}

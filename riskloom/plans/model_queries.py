@@ -17,7 +17,7 @@ from riskloom.operators import portfolio as P
 from riskloom.operators import scoring as S
 from riskloom.operators import training as T
 from riskloom.operators import validation as V
-from riskloom.operators.loading import append_projection, stratified_folds
+from riskloom.operators.loading import append_projection, stratified_folds, write_loans
 from riskloom.plans.base_sql import on_loans
 from riskloom.plans.book import loans, metrics
 from riskloom.plans.metric_sql import measures
@@ -193,6 +193,29 @@ def metrics_file(s, d) -> DataFrame:
     return saved.withColumn("eba_compliant", F.col("eba_compliant").cast("int"))
 
 
+def saved_figures(s, d) -> DataFrame:
+    """Figures of all models: PD and LGD as saved, EAD by default."""
+    pd, lgd = work_folder(s, "pd-json"), work_folder(s, "lgd-json")
+    sinks.save_metrics_json(V.discrimination(final_scored(s, d)), pd, "analytic")
+    sinks.save_errors_json(s.createDataFrame([(0.25, 0.12345, None)], "r2 double, rmse double, mae double"), lgd)
+    found = readers.read_saved_figures(s, pd, {"LGD": lgd})
+    return found.withColumn("eba_compliant", F.col("eba_compliant").cast("int"))
+
+
+def full_reload(s, d) -> DataFrame:
+    """The table written with a part of the book, then reloaded in full and read by column."""
+    path, book = work_folder(s, "reload"), loans(s, d)
+    for rows in (book.filter("loan_id % 2 = 0"), book):
+        write_loans(rows, path)
+    x = readers.read_table(s, path, ["grade", "issue_year", "loan_amnt"])
+    return x.groupBy("grade", "issue_year").agg(F.count(F.lit(1)).alias("n"), F.sum("loan_amnt").cast("double").alias("amount"))
+
+
+def batch_preview(s, d) -> DataFrame:
+    """The first hundred rows of a scored batch."""
+    return S.score_batch(requests(s, d), "loan_id").orderBy("idx").limit(100).select("idx", "grade", "expected_loss")
+
+
 def run_log(s, d) -> DataFrame:
     folder = model_folder(s, d, "pd", "scorecard", "lgd", "ead")
     return s.read.parquet(f"{folder}/runs").select(
@@ -342,6 +365,19 @@ QUERIES = {
           ROUND(ROUND(auc, 6), 4) AS auc_roc, ROUND(brier, 4) AS brier_score, 'analytic' AS model, n_obs AS n_test, ROUND(dr, 4) AS dr_test FROM measured)
         SELECT *, CAST(gini >= 0.2 AS INTEGER) AS eba_compliant FROM m"""),
     ),
+    "saved_figures": (
+        saved_figures,
+        on_loans(f"""{_FINAL}, {measures('', 'final_scored')}, m AS (SELECT ROUND(ROUND(auc * 2 - 1, 6), 4) AS gini, ROUND(ks, 4) AS ks,
+          ROUND(ROUND(auc, 6), 4) AS auc_roc, ROUND(brier, 4) AS brier_score FROM measured)
+        SELECT 'PD' AS model_type, figure, value, CAST((SELECT gini >= 0.2 FROM m) AS INTEGER) AS eba_compliant
+        FROM (UNPIVOT m ON COLUMNS(*) INTO NAME figure VALUE value)
+        UNION ALL VALUES ('LGD', 'r2', 0.25e0, 1), ('LGD', 'rmse', 0.1235e0, 1), ('LGD', 'mae', 0.0355e0, 1), ('EAD', 'r2', 1e0, 1), ('EAD', 'rmse', 35.17e0, 1)"""),
+    ),
+    "full_reload": (
+        full_reload,
+        on_loans("""SELECT grade, CAST(YEAR(issue_d) AS INTEGER) AS issue_year, COUNT(*) AS n, CAST(SUM(loan_amnt) AS DOUBLE) AS amount FROM loans GROUP BY 1, 2"""),
+    ),
+    "batch_preview": (batch_preview, f"SELECT idx, grade, expected_loss FROM ({_BATCH_SQL}) ORDER BY idx LIMIT 100"),
     "run_log": (run_log, None),
     "job_ledger": (
         job_ledger,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,6 +138,25 @@ def read_saved_metrics(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_saved_figures(spark: SparkSession, pd_path: str, loss_paths: Mapping[str, str] | None = None) -> DataFrame:
+    """Saved figures of all models, one row each: model_type, figure, value, eba_compliant.
+
+    ``loss_paths`` names the saved errors of the LGD and EAD model; a model or figure that was
+    not saved has its default.
+    """
+    pd = read_saved_metrics(spark, pd_path)
+    names = ("gini", "ks", "auc_roc", "brier_score")
+    figures = [F.struct(F.lit("PD").alias("model_type"), F.lit(n).alias("figure"), F.col(n).alias("value"), "eba_compliant") for n in names]
+    out = pd.select(F.inline(F.array(*figures)))
+    for model, defaults in K.SAVED_ERROR_DEFAULTS.items():
+        path = (loss_paths or {}).get(model)
+        saved = spark.range(1) if path is None else spark.read.schema("r2 double, rmse double, mae double").json(path)
+        value = {n: F.lit(v) if path is None else F.coalesce(n, F.lit(v)) for n, v in defaults.items()}
+        rows = [F.struct(F.lit(model).alias("model_type"), F.lit(n).alias("figure"), v.alias("value"), F.lit(True).alias("eba_compliant")) for n, v in value.items()]
+        out = out.unionByName(saved.select(F.inline(F.array(*rows))))
+    return out
+
+
 def read_table(spark: SparkSession, path: str, columns=None) -> DataFrame:
     """A stored table. Errors are raised; no stand-in rows are ever returned."""
     df = spark.read.parquet(path)

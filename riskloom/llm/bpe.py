@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import arrow_rows
 
-BLOCK = 4 << 20
-TABLE = 400_000  # distinct words a task remembers before it starts anew
+BLOCK = 1 << 20
+TABLE = 200_000  # distinct words a task remembers before it starts anew
 COLUMNS = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
 # The pre-split of byte-level vocabularies: a fixed value.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType, LongType
+from pyspark.sql.types import FractionalType, IntegralType, LongType, StringType
 
 from riskloom import constants as K
 from riskloom.schemas import APPLICATIONS, RAW_LOANS
@@ -31,14 +31,29 @@ PROJECTIONS = {
 INFERRED = ("null", "int", "double", "date", "text")
 
 
+# What a cast or a parser can read at all has one of these shapes. A cast that fails costs an
+# exception, many times the test, so other texts are not handed to it.
+_PAD = r"[\x00-\x20\x7F]*"
+_DIGITS = rf"^{_PAD}[-+]?[0-9]+{_PAD}$"
+_NUMBER = rf"^{_PAD}[-+]?([.\p{{Nd}}][-+.\p{{Nd}}a-fA-FxXpP]*|[iInN][a-zA-Z]*){_PAD}$"
+_DATE = rf"^{_PAD}[-+]?[0-9]{{4,7}}(-|{_PAD}$)"
+_MONTH = r"^\P{Nd}{3,}-[-+]?\p{Nd}"
+
+
+def _cast(text: Column, kind, shape: str) -> Column:
+    return F.when(text.rlike(shape), text.try_cast(kind))
+
+
 def _whole(text: Column, kind) -> Column:
     """A whole number, also where it is written with a decimal point, as in 690.0."""
-    number = text.try_cast("decimal(38,18)")
-    return F.coalesce(text.try_cast(kind), F.when(number == F.floor(number), F.floor(number)).try_cast(kind))
+    number = _cast(text, "decimal(38,18)", _NUMBER)
+    return F.coalesce(_cast(text, kind, _DIGITS), F.when(number == F.floor(number), F.floor(number)).try_cast(kind))
 
 
 def _read(text: Column, kind) -> Column:
-    return _whole(text, kind) if isinstance(kind, IntegralType) else text.try_cast(kind)
+    if isinstance(kind, IntegralType):
+        return _whole(text, kind)
+    return _cast(text, kind, _NUMBER) if isinstance(kind, FractionalType) else text.try_cast(kind)
 
 
 def _text_rows(spark: SparkSession, path: str, trim: bool = False) -> DataFrame:
@@ -59,7 +74,8 @@ def inferred_types(spark: SparkSession, path: str) -> DataFrame:
 
     def flags(name: str) -> Column:
         c = F.col(f"`{name}`")
-        fits = (_whole(c, LongType()).isNotNull(), c.try_cast("double").isNotNull(), c.try_cast("date").isNotNull() | F.try_to_date(c, "MMM-yyyy").isNotNull())
+        month = F.when(c.rlike(_MONTH), F.try_to_date(c, "MMM-yyyy"))
+        fits = (_whole(c, LongType()).isNotNull(), _cast(c, "double", _NUMBER).isNotNull(), _cast(c, "date", _DATE).isNotNull() | month.isNotNull())
         some = F.coalesce(F.bool_or(c.isNotNull()), F.lit(False))
         kinds = [F.when(~some, INFERRED[0]), *(F.when(F.bool_and(F.when(c.isNotNull(), f)), k) for f, k in zip(fits, INFERRED[1:], strict=False))]
         return F.struct(F.lit(name).alias("column"), F.coalesce(*kinds, F.lit(INFERRED[-1])).alias("type"))
@@ -80,9 +96,11 @@ def _by_name(spark: SparkSession, path: str, schema: str, columns: Sequence[str]
     if absent:
         raise ValueError(f"the file has no column {', '.join(absent)}")
     kinds = {f.name: f.dataType for f in spark.createDataFrame([], schema).schema}
-    read = {c: _read(F.col(c), kinds[c]) for c in columns}
-    unread = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & v.isNull(), F.lit(c)) for c, v in read.items()]))
-    return rows.select(*[v.alias(c) for c, v in read.items()], unread.alias("_unread"))
+    typed = [c for c in columns if not isinstance(kinds[c], StringType)]
+    # each value is read once, before the rows that have an unreadable one are told
+    rows = rows.select(*[_read(F.col(c), kinds[c]).alias(c) for c in columns], *[F.col(c).isNotNull().alias(f"_has_{c}") for c in typed])
+    unread = F.array_compact(F.array(*[F.when(F.col(f"_has_{c}") & F.col(c).isNull(), F.lit(c)) for c in typed]))
+    return rows.select(*columns, unread.alias("_unread"))
 
 
 def read_loans_csv(spark: SparkSession, path: str, use: str = "load") -> DataFrame:

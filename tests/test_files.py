@@ -197,3 +197,26 @@ def test_stability_against_a_reference_of_any_width(spark):
         a, e = max((1 + b % 3) / size if b % 2 == 0 else 0.0, 1e-8), 1 / 3000
         want += (a - e) * math.log(a / e)
     assert row["n"] == size and row["psi"] == pytest.approx(want, abs=2e-6)
+
+
+ODD_TEXTS = (
+    "690.0", " 690 ", "+7", "-7.", ".5", "5.", "1e3", "1E-3", "1e1", "1d", "2.5f", "0x1p3", "NaN", "nan", "inf", "-Infinity", "+inf", "infinity", "many", "n/a", "",
+    "١٢", "\t12\u007f", "36 months", "4 years", "12.35%", "10+ years", "99999999999", "123456789012345678901234", "1995", "1995-3", " 1995-03-04 ", "1995-03-04T05:06",
+    "+1995-01-01", "1234567-01-01", "12345678", "1995-13-01", "Jan-1995", "jan-1995", "JAN-1995", "Jan-12345", "Jan-+12345", "Janu-1995", "Foo-1995", "Not Verified", "debt_consolidation",
+)
+
+
+@pytest.mark.parametrize(("kind", "shape"), [("int", "_DIGITS"), ("bigint", "_DIGITS"), ("double", "_NUMBER"), ("decimal(38,18)", "_NUMBER"), ("date", "_DATE")])
+def test_texts_that_no_cast_can_read_are_not_cast(spark, kind, shape):
+    df = spark.createDataFrame([(x,) for x in ODD_TEXTS], "x string")
+    text, tested = F.col("x"), F.col("x").rlike(getattr(readers, shape))
+    rows = df.select("x", text.try_cast(kind).cast("string").alias("plain"), readers._cast(text, kind, getattr(readers, shape)).cast("string").alias("got"), tested.alias("tried")).collect()
+    assert [(r.x, r.got) for r in rows] == [(r.x, r.plain) for r in rows]
+    assert not any(r.tried for r in rows if r.x in ("many", "36 months", "12.35%", "Not Verified", "debt_consolidation"))
+
+
+def test_months_that_can_be_read_have_their_shape(spark):
+    df = spark.createDataFrame([(x,) for x in ODD_TEXTS if x != "Janu-1995"], "x string")
+    month = F.try_to_date("x", "MMM-yyyy").cast("string")
+    rows = df.select("x", month.alias("plain"), F.when(F.col("x").rlike(readers._MONTH), month).alias("got")).collect()
+    assert [(r.x, r.got) for r in rows] == [(r.x, r.plain) for r in rows] and sum(r.plain is not None for r in rows) >= 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+
 import duckdb
 import numpy as np
 import pytest
@@ -194,3 +196,25 @@ def test_without_a_model_the_formula_scores(spark):
 
 def test_too_few_defaults_give_no_model(spark):
     assert T.train_lgd(loans(spark, SMALL)).model is None
+
+
+@pytest.mark.parametrize("task_rows", [0, 90, 1 << 19])
+def test_same_trees_by_levels_and_by_nodes(spark, small_rows, monkeypatch, task_rows):
+    train = small_rows.filter("fold = 'train'").repartition(3)
+    want = B.fit(train, K.PD_FEATURES, FEW, objective="logistic")
+    monkeypatch.setattr(B, "LEAD_ROWS", 0)
+    monkeypatch.setattr(B, "LEAST_PART", 100)
+    monkeypatch.setattr(B, "TASK_ROWS", task_rows)
+    assert B.fit(train, K.PD_FEATURES, FEW, objective="logistic") == want and want.nodes
+
+
+def test_the_driver_gets_splits_and_no_tables(spark):
+    r = np.random.default_rng(3)
+    slots = B._Slots.of([0, 1, 2], [np.arange(255.0)] * 3)
+    rows = [(r.integers(0, 256, (3, 900)).astype(np.uint8), r.integers(-9, 9, (2, 900)).astype(float) ** 2) for _ in range(40)]
+    parts = spark.sparkContext.parallelize(rows, 40)
+    tree, nodes = B._Tree.empty(3), list(range(1, 8))
+    tree.cut[1:4] = 120
+    found = B._splits(parts, tree, nodes, slots, B.Growth(1, 3, 0.1), 1.0)
+    assert sorted(found) == nodes and found[1][0] == 36000
+    assert len(pickle.dumps(found)) < 10_000  # the tables of a task have 7 nodes, 768 slots and 2 sums

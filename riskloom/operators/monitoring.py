@@ -35,7 +35,7 @@ def measure_models(scored: DataFrame, version: str = "analytic_v1", dataset: str
     key = ["evaluation_date"]
     pd = discrimination(df, key).withColumnsRenamed({"auc": "auc_roc", "brier": "brier_score"})
     bad = df.filter("is_default")
-    first = df.agg(F.min("evaluation_date")).first()[0]
+    first = scored.agg(F.trunc(F.min(F.col("issue_d").cast("date")), "quarter")).first()[0]
     stability = psi_by_group(
         df.select("evaluation_date", "score", F.when(F.col("is_default"), F.col("lgd")).alias("lgd"), "ead"),
         "evaluation_date", first, ["score", "lgd", "ead"],

@@ -22,14 +22,16 @@ def with_raw_lgd(loans: DataFrame) -> DataFrame:
     return loans.withColumn("lgd", clip(F.when(usable, loss), *K.LGD_RANGE))
 
 
-def impute_lgd(loans: DataFrame, group: str = "grade") -> DataFrame:
+def impute_lgd(loans: DataFrame, group: str = "grade", losses: DataFrame | None = None) -> DataFrame:
     """Replace losses at the upper limit by the mean of the group's other losses.
 
-    The means are one small aggregate; rows never move to their group, so a group that
-    holds a third of the book costs nothing extra.
+    The means are one small aggregate of ``losses``, rows of ``loans`` with all that have a
+    loss (all rows, if not given); rows never move to their group, so a group that holds a
+    third of the book costs nothing extra.
     """
     top = K.LGD_RANGE[1]
-    means = loans.groupBy(group).agg(F.avg(F.when(F.col("lgd") < top, F.col("lgd"))).alias("_mean_lgd"))
+    below = (loans if losses is None else losses).filter(F.col("lgd") < top)
+    means = below.groupBy(group).agg(F.avg("lgd").alias("_mean_lgd"))
     looked_up = attach_statistic(loans, means, group)
     lgd = F.when(
         F.col("lgd") >= top, F.coalesce(F.col("_mean_lgd"), F.lit(K.LGD_WITHOUT_HISTORY))
@@ -52,5 +54,6 @@ def build_targets(loans: DataFrame, *, loss: bool = True) -> DataFrame:
     """
     df = with_default_flag(loans)
     if loss:
-        df = impute_lgd(with_raw_lgd(df))
+        df = with_raw_lgd(df)
+        df = impute_lgd(df, losses=df.filter("is_default"))
     return with_exposure(df)

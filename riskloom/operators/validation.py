@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,9 @@ def running_counts(counts: DataFrame, keys: Sequence[str] = (), *, descending: b
         *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in parts),
         *(F.sum(f"_{c}").over(whole).alias(f"all_{c}") for c in parts),
     )
-    same = F.col("_range") == F.col("_at")
+    # null-safe, though no range is null: an equality adds a null check to one side only, and
+    # the counts under both sides are one shuffle only while both are the same
+    same = F.col("_range").eqNullSafe(F.col("_at"))
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
     within = Window.partitionBy(*keys, "_range").orderBy(turn("score")).rowsBetween(Window.unboundedPreceding, 0)
@@ -247,7 +250,12 @@ PSI_FLOOR = 1e-8
 
 
 def psi_edges(expected: DataFrame, columns: Sequence[str], bins: int = 10) -> dict[str, list[float]]:
-    found = exact_quantiles(expected, columns, [i / bins for i in range(bins + 1)])
+    # a few columns of the reference, kept while the quantiles pass over them
+    numbers = expected.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        found = exact_quantiles(numbers, columns, [i / bins for i in range(bins + 1)])
+    finally:
+        numbers.unpersist()
     return {c: sorted(set(v)) for c, v in found.items() if v is not None}
 
 

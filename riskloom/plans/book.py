@@ -1,8 +1,9 @@
 """Loads the tables that queries share, once per application and scale folder.
 
 The first use derives the loan book from the supplied tables and writes it to the shared
-folder as Parquet; later queries read that table. A lost executor costs a re-read of
-files and nothing more.
+folder as Parquet; later queries read that table. The load reads its rows twice, for the
+means of the losses and for the table, so the joined sources are written before it. A lost
+executor costs a re-read of files and nothing more.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from riskloom.operators.features import build_loans
 from riskloom.operators.monitoring import measure_models
 from riskloom.operators.scoring import applications, pd_column, to_predictions
 from riskloom.session import work_folder
-from riskloom.sources.testbook import raw_loans
+from riskloom.sources.testbook import loan_sources, raw_from_joined
 
 PREDICTION_STAMP = "2024-01-01 00:00:00"
 
@@ -65,6 +66,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BUILDERS = {
-    "loans": lambda spark, sf_dir: build_loans(raw_loans(spark, sf_dir)),
+    "loan-sources": loan_sources,
+    "loans": lambda spark, sf_dir: build_loans(raw_from_joined(_stored(spark, sf_dir, "loan-sources"))),
     "metrics": lambda spark, sf_dir: measure_models(scored(spark, sf_dir)),
 }

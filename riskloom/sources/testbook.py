@@ -30,8 +30,8 @@ def returned_per_order(lines: DataFrame) -> DataFrame:
     )
 
 
-def raw_from_tables(orders: DataFrame, customers: DataFrame, returned: DataFrame | None) -> DataFrame:
-    """Raw loans from the three inputs; ``orders`` may be a stream if ``returned`` is None.
+def joined_tables(orders: DataFrame, customers: DataFrame, returned: DataFrame | None) -> DataFrame:
+    """What a raw loan derives from, one row per loan; ``orders`` may be a stream if ``returned`` is None.
 
     No join is hinted: Spark broadcasts the customers only below its size limit, and
     splits a hot customer's partition at run time otherwise.
@@ -42,7 +42,19 @@ def raw_from_tables(orders: DataFrame, customers: DataFrame, returned: DataFrame
         df = df.withColumn("returned", F.lit(None).cast("decimal(22,2)"))
     else:
         df = df.join(returned, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return df.select(
+        "o_orderkey", "o_custkey", _money(F.col("o_totalprice")).alias("amt"), "o_orderdate", "o_orderpriority",
+        _money(F.col("c_acctbal")).alias("balance"), "c_mktsegment", "returned",
+    )
+
+
+def raw_from_tables(orders: DataFrame, customers: DataFrame, returned: DataFrame | None) -> DataFrame:
+    """Raw loans from the three inputs."""
+    return raw_from_joined(joined_tables(orders, customers, returned))
+
 
+def raw_from_joined(df: DataFrame) -> DataFrame:
+    """Raw loans from the rows of :func:`joined_tables`, row by row."""
     ok, ck = F.col("o_orderkey"), F.col("o_custkey")
     df = df.select(
         "*",
@@ -50,9 +62,8 @@ def raw_from_tables(orders: DataFrame, customers: DataFrame, returned: DataFrame
         ((ok * 31 + ck * 17) % 54).alias("f"),
         ((ok * 13 + ck * 7) % 100).alias("m"),
         ((ok * 53 + ck * 29) % 450).alias("dt"),
-        _money(F.col("o_totalprice")).alias("amt"),
     )
-    f, h, m, dt = (F.col(x) for x in ("f", "h", "m", "dt"))
+    f, h, m, dt, amt = (F.col(x) for x in ("f", "h", "m", "dt", "amt"))
     grade_index = (
         F.when(f >= 44, 0).when(f >= 36, 1).when(f >= 28, 2).when(f >= 20, 3)
         .when(f >= 12, 4).when(f >= 6, 5).otherwise(6)
@@ -70,7 +81,6 @@ def raw_from_tables(orders: DataFrame, customers: DataFrame, returned: DataFrame
         .otherwise("Fully Paid"),
     )
     status = F.col("status")
-    amt = F.col("amt")
     months = F.when(m % 4 == 0, 60).otherwise(36)
     cents = Decimal("0.01")
     instalment = F.when(
@@ -99,7 +109,7 @@ def raw_from_tables(orders: DataFrame, customers: DataFrame, returned: DataFrame
         .otherwise(F.concat((m % 9 + 1).cast("string"), F.lit(" years"))).alias("emp_length"),
         F.when(F.col("c_mktsegment") == "BUILDING", "MORTGAGE")
         .when(F.col("c_mktsegment") == "HOUSEHOLD", "OWN").otherwise("RENT").alias("home_ownership"),
-        (_money(F.col("c_acctbal")) * 10 + 20000).cast("decimal(14,2)").alias("annual_inc"),
+        (F.col("balance") * 10 + 20000).cast("decimal(14,2)").alias("annual_inc"),
         F.when(m % 3 == 0, "Verified").when(m % 3 == 1, "Source Verified")
         .otherwise("Not Verified").alias("verification_status"),
         F.col("o_orderdate").cast("date").alias("issue_d"),
@@ -129,10 +139,15 @@ def raw_from_tables(orders: DataFrame, customers: DataFrame, returned: DataFrame
     )
 
 
-def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole raw book of one scale folder."""
-    return raw_from_tables(
+def loan_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined rows of one scale folder."""
+    return joined_tables(
         table(spark, sf_dir, "orders"),
         table(spark, sf_dir, "customer"),
         returned_per_order(table(spark, sf_dir, "lineitem")),
     )
+
+
+def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole raw book of one scale folder."""
+    return raw_from_joined(loan_sources(spark, sf_dir))

@@ -1,18 +1,21 @@
 """Exact k nearest binary codes by incremental multi-index hashing.
 
 A vector becomes a 64-bit code of signs. Codes are cut into segments of about log2(n / 16)
-bits for n distinct codes; per segment an index maps a value to the codes that hold it. A
-query probes every segment with all values within radius 0, then 1, 2, ...; what it meets is
-verified by the full Hamming distance. A code at distance d differs from the query by at most
+bits for n distinct codes; per segment an index maps a value to the codes that hold it. The
+index lies in cells, which hold the values with the same leading bits. A query goes to the
+cells that are near enough, and within a cell's task it probes all values at radius 0, then 1,
+2, ...; what it meets is verified by the full Hamming distance. A code at distance d differs from the query by at most
 d // segments bits in some segment, so after radius r all codes up to
 ``segments * (r + 1) - 1`` have been met: once k verified neighbours lie within that, they
 are proven and the query leaves the rounds.
 
 Copies never multiply work: the index holds each distinct code once, with the number of its
 rows (up to k + 1) and their smallest identifier, and queries with the same code are one
-query. Codes that share a value meet the queries as blocks of bounded size, spread over
-tasks however many codes hold it; blocks are compared in numpy, which hands on the nearest
-k + 1 codes per query only, none beyond the distance that is already certain.
+query. Codes of a cell meet the queries as blocks of bounded size, spread over tasks however
+many codes share a value; blocks are compared in numpy, which hands on the nearest k + 1 codes
+per query only, none beyond the distance that is already certain. Queries and cells are joined
+by a shuffle: the file that the queries come from says nothing of how many cells they go to, so
+a join by its size could bring them all to the driver.
 
 Defined cases: a null vector, or one with a null element, is neither indexed nor a query;
 ties in distance go to the smaller identifier; a query never finds its own identifier but
@@ -25,7 +28,7 @@ folded onto 64 signed sums.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations, count
+from itertools import combinations, count, product
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,8 @@ from riskloom.llm.common import arrow_rows, staged
 
 BITS = 64
 FILL = 16  # distinct codes that hold a segment value, on average
-BLOCK = 4096  # codes or queries that meet as one row
+BLOCK = 1 << 16  # codes or queries that meet as one row
+CELLS = 6  # leading bits of a cell, at least
 PAIRS = 1 << 20  # compared at a time
 
 
@@ -63,17 +67,27 @@ def _widths(codes: int) -> list[int]:
     return [BITS // segments + (s < BITS % segments) for s in range(segments)]
 
 
-def _by_segment(codes: DataFrame, widths: list[int]) -> DataFrame:
-    """The rows once per segment, with its number s and the value v of ``code`` in it."""
-    low = [sum(widths[:s]) for s in range(len(widths))]
-    values = [F.shiftrightunsigned("code", a).bitwiseAND(F.lit((1 << w) - 1)) for a, w in zip(low, widths, strict=True)]
+def _leading(codes: int, widths: list[int]) -> int:
+    """Bits of a segment that name a cell: cells hold half a block on average, at any number of codes."""
+    return min(*widths, max(CELLS, (2 * codes // BLOCK).bit_length()))
+
+
+def _by_cell(codes: DataFrame, widths: list[int], leading: int) -> DataFrame:
+    """The rows once per segment, with its number s and the leading bits v of ``code`` in it."""
+    ends = [sum(widths[: s + 1]) for s in range(len(widths))]
+    values = [F.shiftrightunsigned("code", e - leading).bitwiseAND(F.lit((1 << leading) - 1)) for e in ends]
     pairs = F.array(*[F.struct(F.lit(s).alias("s"), v.alias("v")) for s, v in enumerate(values)])
     return codes.select("*", F.explode(pairs).alias("_at")).select("*", "_at.s", "_at.v").drop("_at")
 
 
-def _masks(width: int, radius: int) -> Column:
-    """Array of all segment values with ``radius`` bits set."""
-    masks = [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+def _set_bits(width: int, radius: int) -> list[int]:
+    """All values of so many bits with ``radius`` of them set."""
+    return [sum(1 << b for b in bits) for bits in combinations(range(width), radius)]
+
+
+def _masks(leading: int, rest: int, radius: int) -> Column:
+    """Array of what the leading bits of values at the radius can differ by, with ``rest`` bits below them."""
+    masks = [m for r in range(max(0, radius - rest), min(radius, leading) + 1) for m in _set_bits(leading, r)]
     return F.split(F.lit(",".join(map(str, masks))), ",").cast("array<bigint>")
 
 
@@ -90,8 +104,15 @@ def _nearest(keep: int, q, code, first, rows, d) -> tuple[np.ndarray, ...]:
     return tuple(x[near] for x in (q, code, first, rows, d))
 
 
-def _verify(keep: int):
-    """Blocks of queries against blocks of codes: the nearest ``keep`` codes per query, within its bound."""
+def _verify(keep: int, radius: int = 0, widths: tuple[int, ...] = (), leading: int = 0):
+    """Blocks of queries against blocks of a cell's codes: the nearest ``keep`` codes per query, within its bound.
+
+    A query meets the codes whose value is ``radius`` bits away in segment s, where the cell has the leading bits v.
+    Without segments it meets all codes.
+    """
+    rests = np.array([w - leading for w in widths] or [0])
+    low = np.cumsum(widths or [0]) - (widths or [0])
+    most = int(rests.max())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,24 +120,49 @@ def _verify(keep: int):
             q, bound = (np.asarray(asked.values.field(c)) for c in ("query", "bound"))
             code, first, rows = (np.asarray(known.values.field(c)) for c in ("code", "first", "count"))
             qa, ca = np.asarray(asked.offsets), np.asarray(known.offsets)
-            # every query once per block it meets, and how many codes stand there
             block = np.repeat(np.arange(batch.num_rows), np.diff(qa))
-            at, n = np.arange(qa[0], qa[-1]), np.diff(ca)[block]
-            cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()) + PAIRS, PAIRS), "right")
+            at, s, v = np.arange(qa[0], qa[-1]), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            if widths:
+                s, v = (np.asarray(batch.column(c)).astype(np.int64) for c in (2, 3))
+            below = (1 << rests[s]) - 1
+
+            def rest(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+                """What a cell's name leaves out of the values, under the cell's number."""
+                return of << most | x >> low[s][of] & below[of]
+
+            # the codes of a value lie side by side
+            cell = rest(code[ca[0] : ca[-1]], np.repeat(np.arange(batch.num_rows), np.diff(ca)))
+            order = np.argsort(cell, kind="stable") + ca[0]
+            held = np.bincount(cell, minlength=batch.num_rows << most)
+            start, place = np.cumsum(held) - held, rest(q[at], block)
+            left_over = np.full(len(at), radius)
+            if widths:
+                ahead = q[at] >> (low[s] + rests[s])[block] & ((1 << leading) - 1)
+                left_over -= np.bitwise_count(ahead ^ v[block])
             best: tuple[np.ndarray, ...] | None = None
-            a = 0
-            for b in np.unique(np.r_[cuts, len(n)]).tolist():
-                if b <= a:
-                    continue
-                m = n[a:b]
-                left = np.repeat(at[a:b], m)
-                right = np.arange(len(left)) + np.repeat(ca[block[a:b]] - np.r_[0, np.cumsum(m)[:-1]], m)
-                d = np.bitwise_count((q[left] ^ code[right]).view(np.uint64))  # of signed values it counts the magnitude
-                good = d <= bound[left]
-                left, right = left[good], right[good]
-                found = q[left], code[right], first[right], rows[right], d[good].astype(np.int32)
-                best = _nearest(keep, *(found if best is None else (np.concatenate(x) for x in zip(best, found, strict=True))))
-                a = b
+            for wide, r in product({*rests.tolist()}, range(radius + 1)):
+                those = np.flatnonzero((left_over == r) & (rests[s][block] == wide))
+                masks = np.array(_set_bits(wide, r), np.int64)  # none where r is more than there are bits
+                for i in range(0, len(those) if len(masks) else 0, step := max(1, PAIRS // max(1, len(masks)))):
+                    some = those[i : i + step]
+                    value = (place[some][:, None] ^ masks).ravel()
+                    met = np.flatnonzero(held[value])
+                    value, who = value[met], at[some][met // len(masks)]
+                    n = held[value]
+                    cuts = np.searchsorted(np.cumsum(n), np.arange(PAIRS, int(n.sum()) + PAIRS, PAIRS), "right")
+                    a = 0
+                    for b in np.unique(np.r_[cuts, len(n)]).tolist():
+                        if b <= a:
+                            continue
+                        m = n[a:b]
+                        left = np.repeat(who[a:b], m)
+                        right = order[np.arange(len(left)) + np.repeat(start[value[a:b]] - np.r_[0, np.cumsum(m)[:-1]], m)]
+                        d = np.bitwise_count((q[left] ^ code[right]).view(np.uint64))  # of signed values it counts the magnitude
+                        good = d <= bound[left]
+                        left, right = left[good], right[good]
+                        found = q[left], code[right], first[right], rows[right], d[good].astype(np.int32)
+                        best = _nearest(keep, *(found if best is None else (np.concatenate(x) for x in zip(best, found, strict=True))))
+                        a = b
             if best is not None and len(best[0]):
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], names=["query", "code", "first", "count", "distance"])
 
@@ -128,7 +174,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both tables hold (id, vector).
     """
-    arrow_rows(vectors.sparkSession, 2000)
+    arrow_rows(vectors.sparkSession, 16)
     keep = k + 1  # one may be the query itself
     rows = vectors.select("id", sign_code(F.col("vector")).alias("code")).where("code IS NOT NULL AND id IS NOT NULL").distinct()
     asked = queries.select("id", sign_code(F.col("vector")).alias("code")).where("code IS NOT NULL AND id IS NOT NULL").distinct()
@@ -141,10 +187,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     codes = staged(few.groupBy("code").agg(F.min("id").alias("first"), F.count("*").cast("int").alias("count")), "distinct-codes")
     distinct = codes.count()
     widths = _widths(distinct)
-    # a value that more codes than a block hold is dealt over several blocks
-    held = _by_segment(codes, widths)
+    leading = _leading(distinct, widths)
+    # a cell that more codes than a block hold is dealt over several blocks
+    held = _by_cell(codes, widths, leading)
     large = held.groupBy("s", "v").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK)
-    large = staged(large.select("s", "v", F.ceil(F.col("m") / BLOCK).alias("blocks")), "large-values")
+    large = staged(large.select("s", "v", F.ceil(F.col("m") / BLOCK).alias("blocks")), "large-cells")
     blocks = F.coalesce("blocks", F.lit(1))
     index = staged(
         held.join(large, ["s", "v"], "left")
@@ -162,15 +209,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     for radius in count():
         covered = len(widths) * (radius + 1) - 1
         probes = (
-            _by_segment(state.where("code IS NULL").select(F.col("query").alias("code"), "bound"), widths)
-            .select("s", F.col("code").alias("query"), "bound", F.explode(_masks(widths[0], radius)).alias("mask"), "v")
+            _by_cell(state.where("code IS NULL").select(F.col("query").alias("code"), "bound"), widths, leading)
+            .select("s", F.col("code").alias("query"), "bound", F.explode(_masks(leading, max(widths) - leading, radius)).alias("mask"), "v")
             .select("s", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), "query", "bound")
             .groupBy("s", "v", F.pmod(F.xxhash64("query"), F.lit(query_blocks)).alias("qc"))
             .agg(F.collect_list(F.struct("query", "bound")).alias("queries"))
             .join(large, ["s", "v"], "left")
             .select("s", "v", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("c"), "queries")
         )
-        met = probes.join(index, ["s", "v", "c"]).select("queries", "codes").mapInArrow(_verify(keep), schema)
+        met = (
+            probes.join(index.hint("merge"), ["s", "v", "c"])
+            .select("queries", "codes", "s", "v")
+            .mapInArrow(_verify(keep, radius, tuple(widths), leading), schema)
+        )
         seen = state.drop("bound").unionByName(met).distinct().withColumn("n", F.row_number().over(order))
         seen = seen.where((F.col("n") <= keep) | F.col("code").isNull()).drop("n")
         sure = F.sum(F.when(F.col("distance") <= covered, F.col("count")).otherwise(0)).over(per_query)
@@ -184,9 +235,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if state.isEmpty():
             break
     m, d = few.alias("m"), done.alias("d")
-    per_code = d.join(m, F.col("d.code") == F.col("m.code")).select("d.query", F.col("m.id").alias("neighbor_id"), "d.distance")
+    per_code = d.join(m.hint("merge"), F.col("d.code") == F.col("m.code")).select("d.query", F.col("m.id").alias("neighbor_id"), "d.distance")
     a = asked.alias("a")
-    pairs = a.join(per_code.alias("p"), F.col("a.code") == F.col("p.query")).where("a.id <> p.neighbor_id")
+    pairs = a.join(per_code.alias("p").hint("merge"), F.col("a.code") == F.col("p.query")).where("a.id <> p.neighbor_id")
     ranks = F.row_number().over(Window.partitionBy("a.id").orderBy("p.distance", "p.neighbor_id"))
     return (
         pairs.select(F.col("a.id").alias("query_id"), "p.neighbor_id", "p.distance", ranks.alias("rank")).where(F.col("rank") <= k)

@@ -295,6 +295,33 @@ def test_blocks_with_nothing_within_the_bound(spark):
     assert list(topk_hash._verify(3)(iter([batch]))) == []
 
 
+def test_queries_and_cells_never_meet_in_the_driver(spark, monkeypatch):
+    plans, staged = [], topk_hash.staged
+
+    def seen(df, name):
+        if name == "nearest-codes":
+            plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(topk_hash, "staged", seen)
+    vectors = np.where(np.random.default_rng(4).random((400, 64)) < 0.5, -1.0, 1.0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id bigint, vector array<double>")
+    assert topk_hash.nearest(df, df.where("id % 40 = 0"), 3).count() == 30
+    joins = [line for plan in plans for line in plan.splitlines() if "Join" in line and "codes" not in line and " c#" in line.replace("[", " ")]
+    assert len(joins) >= len(plans) > 1 and all("SortMergeJoin" in line for line in joins)
+
+
+@pytest.mark.parametrize("codes", [0, 1, 500, 50_000, 15_000_000, 10**9])
+def test_a_query_goes_to_few_cells_at_any_radius(spark, codes):
+    widths = topk_hash._widths(codes)
+    leading = topk_hash._leading(codes, widths)
+    assert leading <= min(widths) and codes >> leading <= topk_hash.BLOCK
+    for radius in range(max(widths) + 1):
+        masks = spark.range(1).select(topk_hash._masks(leading, max(widths) - leading, radius)).first()[0]
+        assert len(set(masks)) == len(masks) <= 1 << leading
+    assert leading < 16  # so many masks are made in the driver
+
+
 def test_layouts_meet_in_the_same_turns(spark):
     df = spark.createDataFrame(
         [

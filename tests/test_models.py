@@ -218,3 +218,29 @@ def test_the_driver_gets_splits_and_no_tables(spark):
     found = B._splits(parts, tree, nodes, slots, B.Growth(1, 3, 0.1), 1.0)
     assert sorted(found) == nodes and found[1][0] == 36000
     assert len(pickle.dumps(found)) < 10_000  # the tables of a task have 7 nodes, 768 slots and 2 sums
+
+
+def test_more_trees_take_no_more_jobs(spark, small_rows):
+    train, jobs = small_rows.filter("fold = 'train'"), []
+    for trees in (2, 12):
+        spark.sparkContext.setJobGroup(f"{trees} trees", "fit")
+        B.fit(train, K.PD_FEATURES, B.Growth(trees, 4, 0.1, rows=0.8), objective="logistic")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{trees} trees")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def test_features_counted_as_one():
+    sizes = [256, 2, 1, 87, 256, 20, 54, 11, 4096]
+    packs = B._packs(sizes)
+    assert sorted(f for p in packs for f in p) == list(range(9)) and len(packs) < 7
+    assert all(len(p) == 1 or np.prod([sizes[f] for f in p]) <= B.PACK_SLOTS for p in packs)
+    r = np.random.default_rng(8)
+    edges = [np.arange(255.0), np.zeros(0), np.arange(1.0), np.arange(6.0)]
+    x = np.stack([r.integers(0, len(e) + 1, 70_000) for e in edges]).astype(np.uint8)
+    rows = B._Whole(iter([(x, *np.zeros((4, 70_000)))]), "squared", edges)
+    some, sums = np.flatnonzero(r.random(70_000) < 0.6), r.integers(-99, 99, (2, 70_000)).astype(float)
+    for chosen in ([0, 1, 2, 3], [2, 3], [1]):
+        slots = B._Slots.of(chosen, edges)
+        want = B._count([x[f][some] for f in chosen], np.ones(len(some), np.int64), sums[:, some], [1], slots)[:, 0]
+        assert np.array_equal(rows._table(some, sums, slots), want)

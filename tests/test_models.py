@@ -7,6 +7,7 @@ import pickle
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from riskloom import constants as K
@@ -244,3 +245,11 @@ def test_features_counted_as_one():
         slots = B._Slots.of(chosen, edges)
         want = B._count([x[f][some] for f in chosen], np.ones(len(some), np.int64), sums[:, some], [1], slots)[:, 0]
         assert np.array_equal(rows._table(some, sums, slots), want)
+
+
+def test_a_scorecard_scores_after_an_observation(spark, small_rows):
+    seen = Observation("rows")
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 5
+    scored = T.with_probability(T.train_scorecard(small_rows), small_rows)
+    assert scored.filter("score BETWEEN 0 AND 1").count() == small_rows.count()
